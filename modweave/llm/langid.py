@@ -14,14 +14,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from modweave.llm.bytegrams import ORDER, PAD, codes
+
 #: Training takes about so many documents of each language, picked by a hash of their id.
 SAMPLE_PER_LANG = 1500
 #: The compiled table has at most so many (state, byte, language) cells of 4 bytes.
 MAX_CELLS = 12_000_000
 #: Contexts seen less often than this, by order, are left to the next shorter one.
 LEAST_SEEN = (0, 1, 8, 32)
-ORDER = 3
-PAD = b"\n" * ORDER
 STEP = 4_000_000
 
 
@@ -33,17 +33,17 @@ class Model:
         self.langs = langs
         seen = np.zeros(256, bool)
         seen[list(PAD)] = True
-        for codes, _ in grams.values():
+        for found, _ in grams.values():
             for k in (0, 8, 16, 24):
-                seen[np.unique((codes >> k) & 255)] = True
+                seen[np.unique((found >> k) & 255)] = True
         self.classes = np.where(seen, np.cumsum(seen) - 1, seen.sum()).astype(np.uint8 if seen.sum() < 255 else np.int32)
         self.size = a = int(seen.sum()) + 1
         other = max(1, 256 - int(seen.sum()))
         symbols, counts = {}, {}
         for lang in langs:
-            codes, n = grams[lang]
+            found, n = grams[lang]
             c = self.classes.astype(np.int64)
-            symbols[lang] = ((c[(codes >> 24) & 255] * a + c[(codes >> 16) & 255]) * a + c[(codes >> 8) & 255], c[codes & 255])
+            symbols[lang] = ((c[(found >> 24) & 255] * a + c[(found >> 16) & 255]) * a + c[(found >> 8) & 255], c[found & 255])
             counts[lang] = n.astype(np.float64)
         room, kept = max(1, MAX_CELLS // (a * max(1, len(langs)))), {0: np.zeros(1, np.int64)}
         for order in range(1, ORDER + 1):
@@ -123,13 +123,7 @@ def _grams(batches):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             by.setdefault(lang, []).append(text)
         for lang, texts in by.items():
-            data = np.frombuffer(PAD + PAD.join(texts), np.uint8).astype(np.uint32)
-            codes = (data[:-3] << 24) | (data[1:-2] << 16) | (data[2:-1] << 8) | data[3:]
-            ends = np.cumsum([len(t) + ORDER for t in texts])[:-1]
-            ok = np.ones(len(codes), bool)
-            for k in range(1, ORDER + 1):
-                ok[ends - k] = False
-            x, n = np.unique(codes[ok], return_counts=True)
+            x, n = np.unique(codes(texts)[0], return_counts=True)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(x), pa.string()), "gram": pa.array(x.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
 
 

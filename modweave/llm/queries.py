@@ -6,19 +6,72 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from modweave.llm import langid, simhash
+from modweave.llm import kneser_ney, langid, mixing, packing, quality_rules, secrets, simhash, substring_dedup, topk, toxicity
 from modweave.llm.folds import held_out
 
+TOKENIZER = "word_bpe_49k.json"
+#: Weights of the domains that the labels define.
+TARGETS = {"clean": 0.95, "low": 0.04, "toxic": 0.01}
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(TOKENIZER))
+
+
+def domains(labels: DataFrame) -> DataFrame:
+    """(doc_id, domain): toxic, low (quality 0) or clean."""
+    return labels.select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "clean").alias("domain"))
+
+
+def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document under a model of the documents labelled good, and the verdict."""
+    trusted = _table(spark, sf_dir, "labels").filter("quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id")
+    return kneser_ney.quality(_table(spark, sf_dir, "documents"), trusted)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document; a source is an owner, a document a repository."""
+    return secrets.find(_table(spark, sf_dir, "documents")).drop("found")
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that an earlier document (or place) has."""
+    return substring_dedup.dedup(_table(spark, sf_dir, "documents"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, packed into sequences of 4096 tokens."""
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate and copies of every document for the target weights."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return mixing.mix(docs, mixing.train(docs, domains(_table(spark, sf_dir, "labels"))), TARGETS)
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every document and the verdict of the trees."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_rules.rules(docs, quality_rules.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best inner products of each query vector."""
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learned outside the held-out fold."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -26,9 +79,29 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_simhash": op2_simhash,
-    "op9_language_id": op9_language_id,
-}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned outside the held-out fold."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.train(docs, _table(spark, sf_dir, "labels").filter(~held_out()))
+    return toxicity.toxicity(docs, machine).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
-ORACLES: dict[str, str] = {}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_kneser_ney, op2_simhash, op3_secrets, op4_line_dedup, op5_packing, op6_mixing, op7_quality_rules, op8_topk, op9_language_id, op10_toxicity)}
+
+ORACLES: dict[str, str] = {
+    "op8_topk": """
+WITH base AS (
+  SELECT vec_id, row_number() OVER () AS rid, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, q.rid AS qrid, c.vec_id, c.rid,
+         CAST(coalesce(list_sum([q.v[i] * c.v[i] FOR i IN range(1, least(len(q.v), len(c.v)) + 1)]), 0) AS BIGINT) AS score
+  FROM base q JOIN base c ON q.rid <> c.rid WHERE q.vec_id % 100 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY qrid ORDER BY score DESC, vec_id, rid) AS rank FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
+""",
+}
