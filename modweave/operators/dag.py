@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import DataFrame, functions as F
 
 from modweave.operators.components import connected_components
@@ -105,7 +103,7 @@ def leaf_partition(distances: DataFrame) -> DataFrame:
     names = sorted({r["a"] for r in distances.filter("a = b").select("a").collect()})
     n, at = len(names), {x: i for i, x in enumerate(names)}
     if n < 2:
-        return spark.createDataFrame([(x, "A") for x in names], "leaf long, side string") if names else distances.select(F.col("a").alias("leaf"), F.lit("A").alias("side")).limit(0)
+        return distances.select(F.col("a").alias("leaf"), F.lit("A").alias("side"))
     far = {(at[r["a"]], at[r["b"]]): r["d"] for r in rows}
     if n <= EXACT_LEAVES:
         # bit n-1-i of the mask says that leaf i is in B, so the least mask is the least string
@@ -221,8 +219,3 @@ def render_tree(edges: list[tuple[str, str]], roots: list[str], depth: int = 50)
             stack.extend((k, level + 1) for k in reversed(kids))
         seen.add(node)
     return "\n".join(lines)
-
-
-def shortest_first(pairs):
-    """Stable order of (depth, label) rows, as the reports list them."""
-    return sorted(itertools.chain(pairs), key=lambda p: (p[0], p[1]))

@@ -16,9 +16,9 @@ def _trim(edges: DataFrame, rounds: int = 2) -> DataFrame:
 
 
 def _trimmed(edges: DataFrame) -> tuple[DataFrame, int]:
-    edges, before = cut(_trim(edges)), -1
-    n = edges.count()
-    while n and n != before:
+    edges = cut(edges)
+    before, n = -1, edges.count()
+    while n and n != before and (before < 0 or n > LOCAL_EDGES):
         before, edges = n, cut(_trim(edges))
         n = edges.count()
     return edges, n
@@ -40,16 +40,79 @@ def _least_ancestor(edges: DataFrame) -> DataFrame:
             return colors
 
 
-def cyclic_components(edges: DataFrame) -> DataFrame:
+#: A trimmed graph of up to so many edges is solved in one task; larger ones by colouring.
+LOCAL_EDGES = 500_000
+
+
+def tarjan(edges: list[tuple]) -> dict:
+    """node -> least member of its component; without recursion."""
+    after: dict = {}
+    for a, b in edges:
+        after.setdefault(a, []).append(b)
+        after.setdefault(b, [])
+    index: dict = {}
+    low: dict = {}
+    root, path, on_path = {}, [], set()
+    for start in after:
+        if start in index:
+            continue
+        work = [(start, iter(after[start]))]
+        index[start] = low[start] = len(index)
+        path.append(start)
+        on_path.add(start)
+        while work:
+            node, children = work[-1]
+            child = next(children, None)
+            if child is None:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == index[node]:
+                    at = path.index(node) if len(path) < 64 else len(path) - 1 - path[::-1].index(node)
+                    members = path[at:]
+                    del path[at:]
+                    on_path.difference_update(members)
+                    root.update(dict.fromkeys(members, min(members)))
+            elif child not in index:
+                index[child] = low[child] = len(index)
+                path.append(child)
+                on_path.add(child)
+                work.append((child, iter(after[child])))
+            elif child in on_path:
+                low[node] = min(low[node], index[child])
+    return root
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    """(node, scc_id) of the components of two or more of a graph of checked size."""
+    import pandas as pd
+
+    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+        root = tarjan(list(zip(frame["src"], frame["dst"], strict=True)))
+        size: dict = {}
+        for r in root.values():
+            size[r] = size.get(r, 0) + 1
+        nodes = [n for n, r in root.items() if size[r] > 1]
+        return pd.DataFrame({"node": nodes, "scc_id": [root[n] for n in nodes]})
+
+    kind = edges.schema["src"].dataType.simpleString()
+    return edges.groupBy().applyInPandas(solve, f"node {kind}, scc_id {kind}")
+
+
+def cyclic_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(node, scc_id) of the nodes in components of two or more; scc_id is the least member.
 
     Nodes outside cycles are trimmed away first. In the rest every node takes the least node that
     reaches it as its colour, and a colour's root then searches backwards inside its colour: what
-    it finds is one component. What remains is trimmed and coloured again.
+    it finds is one component. What remains is trimmed and coloured again, and as soon as it has at
+    most ``local_edges`` edges one task finishes it.
     """
     rest, n = _trimmed(edges.select("src", "dst").filter("src <> dst").distinct())
     done: list[DataFrame] = []
     while n:
+        if n <= local_edges:
+            done.append(_in_one_task(rest))
+            break
         colors = _least_ancestor(rest)
         a = colors.select(F.col("node").alias("src"), F.col("color").alias("sc"))
         b = colors.select(F.col("node").alias("dst"), F.col("color").alias("dc"))
@@ -88,4 +151,4 @@ def cycles(edges: DataFrame) -> DataFrame:
 
 def has_cycle(edges: DataFrame) -> bool:
     """Whether any cycle exists, imports of itself included."""
-    return not edges.filter("src = dst").isEmpty() or _trimmed(edges.select("src", "dst").distinct())[1] > 0
+    return not edges.filter("src = dst").isEmpty() or not cyclic_components(edges).isEmpty()
