@@ -170,7 +170,7 @@ class Module:
 
     def _import(self, at: int, end: int) -> None:
         t, i = self.tokens, at + 1
-        type_only = t[i].text == "type" and t[i + 1].text not in ("from", ",")
+        type_only = i + 1 < end and t[i].text == "type" and t[i + 1].text not in ("from", ",")
         i += type_only
         d = Declaration("import", None, type_only, None, None, [], t[at].start, t[end - 1].end, comments=self._comments_before(at))
         while i < end:
@@ -179,7 +179,7 @@ class Module:
             elif t[i].text == "{":
                 d.names, i = self._names(i, end, type_only)
                 continue
-            elif t[i].text == "*":
+            elif t[i].text == "*" and i + 2 < end:
                 d.namespace = t[i + 2].text
                 i += 2
             elif t[i].kind == "id" and t[i].text != "from":

@@ -52,9 +52,10 @@ def purge_reexports(files: DataFrame, imports: DataFrame, reexports: DataFrame)
 
 
 def import_directly(files: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Candidates have importer_path, spec (as written), symbol_name and target_spec; one hop a run."""
-    by = candidates.select(F.col("importer_path").alias("path"), F.struct("spec", "symbol_name", "target_spec").alias("c")).groupBy("path").agg(F.collect_set("c").alias("moves"))
-    return _edited(files.join(by, "path"), lambda t, moves: rewrites.import_directly(t, {(m["spec"], m["symbol_name"]): m["target_spec"] for m in moves}), ["moves"])
+    """Candidates have importer_path, spec (as written), symbol_name and original_path; one hop a run."""
+    by = candidates.select(F.col("importer_path").alias("path"), F.struct("spec", "symbol_name", "original_path").alias("c")).groupBy("path").agg(F.collect_set("c").alias("moves"))
+    rows = files.join(by, "path").withColumn("own", F.col("path"))
+    return _edited(rows, lambda t, own, moves: rewrites.import_directly(t, {(m["spec"], m["symbol_name"]): relative_import(own, m["original_path"]) for m in moves}), ["own", "moves"])
 
 
 def move_file(files: DataFrame, imports: DataFrame, old: str, new: str) -> DataFrame:
@@ -76,7 +77,3 @@ def propose_split(source_file: str, text: str, target_file: str, symbols: list[s
     changes = [Change("create-file", target_file, target), Change("modify-file", source_file, source, total)]
     back = [Change("modify-file", source_file, text), Change("delete-file", target_file)]
     return Plan("propose-split", changes, {source_file: total}, [source_file], [target_file], back, timestamp=now())
-
-
-def target_spec(importer: str, original: str) -> str:
-    return relative_import(importer, original)
