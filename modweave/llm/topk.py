@@ -86,16 +86,16 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     width, blocks, parts = max(1, width), -(-n // VECTORS_PER_BLOCK), -(-m // QUERIES_PER_BLOCK)
     block, part = F.pmod(F.xxhash64("row"), F.lit(blocks).cast("long")), F.pmod(F.xxhash64("row", F.lit(1)), F.lit(parts).cast("long"))
     data = base.select("vec_id", "v", "row", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
-    asked = base.filter("q").select("vec_id", "v", "row", part.alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    asked = base.filter("q").select(F.col("vec_id").alias("query_id"), F.col("v").alias("query_v"), F.col("row").alias("query_row"), part.alias("query_part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("query_block"))
 
     def search(data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(data) and len(asked):
-            ids, names, rows = data["vec_id"].to_numpy(), asked["vec_id"].to_numpy(), asked["row"].to_numpy()
-            for j, at, score in search_block(_matrix(data["v"], width), ids, data["row"].to_numpy(), _matrix(asked["v"], width), rows, k):
+            ids, names, rows = data["vec_id"].to_numpy(), asked["query_id"].to_numpy(), asked["query_row"].to_numpy()
+            for j, at, score in search_block(_matrix(data["v"], width), ids, data["row"].to_numpy(), _matrix(asked["query_v"], width), rows, k):
                 out.append(pd.DataFrame({"query_id": names[j], "query_row": rows[j], "vec_id": ids[at], "row": data["row"].to_numpy()[at], "score": score}))
         return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_id", "query_row", "vec_id", "row", "score")})
 
-    found = data.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInPandas(search, "query_id long, query_row long, vec_id long, row long, score long")
+    found = data.groupBy("block", "part").cogroup(asked.groupBy("query_block", "query_part")).applyInPandas(search, "query_id long, query_row long, vec_id long, row long, score long")
     ranked = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
