@@ -20,7 +20,7 @@ from modweave.runtime import cut
 WORDS, LIFT, HITS = 40, 3.0, 3
 #: About so many labelled rows train it, picked by a hash of their id.
 SAMPLE_ROWS = 16_000
-STEPS = 40
+STEPS = 60
 TOLERANCE = 1e-3
 SIGNS = r"[#*$%&|<>]"
 BREAKS = r"[\s.,!?;:\"'()#*$%&|<>]+"
@@ -95,20 +95,28 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
     return Classifier(domains, [math.log(sizes[d] / n) for d in domains], telling, tables)
 
 
+def _states(history: list[list[float]]) -> Column:
+    """Struct of the rate ``r`` and the one before, ``p``, of a row with posteriors ``q`` after the steps of ``history``.
+
+    A step is its momentum and then a move for each domain. Rates begin at 1.
+    """
+    steps = F.expr(f"cast(array({', '.join(f'array({", ".join(f"{x!r}D" for x in h)})' for h in history)}) as array<array<double>>)")
+    dot = lambda h: F.aggregate(F.zip_with("q", F.slice(h, 2, F.size(h) - 1), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("p"))
+    return F.aggregate(steps, start, lambda s, h: F.struct(F.greatest(F.lit(0.0), s["r"] + h[0] * (s["r"] - s["p"]) - dot(h)).alias("r"), s["r"].alias("p")))
+
+
 def _rate(history: list[list[float]]) -> Column:
-    """Rate of a row with posteriors ``q`` after the steps of ``history`` (a move for each domain), from 1."""
-    moves = ", ".join(f"array({', '.join(f'{x!r}D' for x in h)})" for h in history)
-    steps = F.expr(f"cast(array({moves}) as array<array<double>>)")
-    dot = lambda h: F.aggregate(F.zip_with("q", h, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return F.aggregate(steps, F.lit(1.0), lambda r, h: F.greatest(F.lit(0.0), r - dot(h)))
+    return _states(history)["r"]
 
 
 def fit_rates(profiles: DataFrame, goals: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> list[list[float]]:
-    """Moves of the projected gradient steps for rows (q, tokens), so that sum(rate * tokens * q[k]) nears goals[k].
+    """Projected gradient steps for rows (q, tokens), so that sum(rate * tokens * q[k]) nears goals[k].
 
-    Residuals are scaled by the diagonal of the Gram matrix; the first step's length is the inverse
-    of a bound on the scaled matrix's norm, later ones follow the spectral rule. It ends when the
-    goals are met or, where rates of zero keep them out of reach, when residuals no longer change.
+    Residuals are scaled by the diagonal of the Gram matrix, and the step length is the inverse of
+    a bound on the scaled matrix's norm; momentum speeds the steps up and starts anew when the
+    residual grows. It ends when the goals are met or, where rates of zero keep them out of reach,
+    when the residuals no longer change.
     """
     ks = range(len(goals))
     shares = profiles.select("tokens", "q", F.posexplode("q").alias("i", "x")).groupBy("i").agg(*(F.sum(F.col("tokens") * F.col("x") * F.element_at("q", j + 1)).alias(f"g{j}") for j in ks)).collect()
@@ -117,22 +125,24 @@ def fit_rates(profiles: DataFrame, goals: list[float], steps: int = STEPS, toler
         return []
     scale = [1 / gram[i][i] if gram[i][i] > 0 else 0.0 for i in ks]
     norm = max(sum(abs(gram[i][j]) * (scale[i] * scale[j]) ** 0.5 for j in ks) for i in ks)
+    if norm <= 0:
+        return []
     history: list[list[float]] = []
     bar = tolerance * (sum(goals) or 1.0) / len(goals)
-    length, last = (1 / norm if norm > 0 else 0.0), None
+    t, beta, last = 1.0, 0.0, None
     for _ in range(steps):
-        rated = profiles.select((F.col("tokens") * _rate(history)).alias("t"), F.posexplode("q").alias("i", "x"))
+        ahead = F.col("s.r") + beta * (F.col("s.r") - F.col("s.p"))
+        rated = profiles.select("tokens", "q", _states(history).alias("s")).select((F.col("tokens") * ahead).alias("t"), F.posexplode("q").alias("i", "x"))
         got = {r["i"]: r["s"] for r in rated.groupBy("i").agg(F.sum(F.col("t") * F.col("x")).alias("s")).collect()}
         off = [(got[i] - goals[i]) if scale[i] else 0.0 for i in ks]
-        if max(map(abs, off)) <= bar or last and max(abs(a - b) for a, b in zip(off, last, strict=True)) <= bar / 10:
+        size = sum(scale[i] * off[i] ** 2 for i in ks)
+        if max(map(abs, off)) <= bar or last and max(abs(a - b) for a, b in zip(off, last[1], strict=True)) <= bar / 20:
             break
-        if last:
-            moved = history[-1]
-            bend = sum(m * (a - b) for m, a, b in zip(moved, last, off, strict=True))
-            size = sum(m * m / c for m, c in zip(moved, scale, strict=True) if c)
-            length = min(max(size / bend, length / 4), length * 4) if bend > 0 else length
-        history.append([length * scale[i] * off[i] for i in ks])
-        last = off
+        history.append([beta, *(scale[i] * off[i] / norm for i in ks)])
+        if last and size > last[0]:
+            t = 1.0
+        after = (1 + (1 + 4 * t * t) ** 0.5) / 2
+        beta, t, last = (t - 1) / after, after, (size, off)
     return history
 
 
