@@ -88,7 +88,7 @@ class Model:
                     own = np.where(c > 0, c / (n + d), d / (n + d) * escaped)
                 prob[first[order] : first[order + 1]] = np.where(n > 0, own, below)
             self.bits[:, :, j] = -np.log2(np.maximum(prob, 1e-30))
-        self.bits = self.bits.reshape(-1, len(langs))
+        self.bits = self.bits.reshape(int(first[-1]) * a, len(langs))
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text under each language."""

@@ -11,7 +11,7 @@ from modweave.llm.folds import held_out
 
 TOKENIZER = "word_bpe_49k.json"
 #: Weights of the domains that the labels define.
-TARGETS = {"clean": 0.95, "low": 0.04, "toxic": 0.01}
+TARGETS = {"clean": 0.92, "low": 0.05, "toxic": 0.03}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,7 +47,9 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that an earlier document (or place) has."""
-    return substring_dedup.dedup(_table(spark, sf_dir, "documents"))
+    out = substring_dedup.dedup(_table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("removed", lambda r: F.concat_ws(":", r["start"].cast("string"), r["end"].cast("string"))), ",")
+    return out.withColumn("removed", spans)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +90,46 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_kneser_ney, op2_simhash, op3_secrets, op4_line_dedup, op5_packing, op6_mixing, op7_quality_rules, op8_topk, op9_language_id, op10_toxicity)}
 
+
+
+def _kind_sql(kind: str, pattern: str, value: str, good: str) -> str:
+    """Spans of a kind: the matches lie between the pieces of the split text."""
+    return f"""{kind}_m AS (SELECT rid, unnest(regexp_extract_all(text, '{pattern}')) AS m, unnest(regexp_split_to_array(text, '{pattern}')[:len(regexp_extract_all(text, '{pattern}'))]) AS p, generate_subscripts(regexp_extract_all(text, '{pattern}'), 1) AS i FROM d),
+{kind}_s AS (SELECT rid, m, sum(len(p) + len(m)) OVER (PARTITION BY rid ORDER BY i) AS stop FROM {kind}_m),
+{kind} AS (SELECT rid, '{kind}' AS kind, {secrets.KINDS.index(kind)} AS k, CAST(stop - len(m) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, {value} AS v FROM {kind}_s WHERE {good})"""
+
+
+def _secrets_sql() -> str:
+    assign, access, hexes = (secrets.PATTERNS[k].replace("'", "''") for k in secrets.KINDS[:3])
+    value = f"regexp_extract(m, '{assign}', 2)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS owner FROM documents),
+{_kind_sql('assign', assign, value, f'len({value}) >= 8')},
+{_kind_sql('access', access, 'm', 'true')},
+{_kind_sql('hex', hexes, 'm', 'true')},
+{_kind_sql('owned', '[A-Za-z0-9+/_-]{20,}', 'm', "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')")},
+base AS (SELECT * FROM assign UNION ALL SELECT * FROM access UNION ALL SELECT * FROM hex),
+spans AS (SELECT * FROM base UNION ALL SELECT * FROM owned o WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = o.rid AND b.start < o.stop AND o.start < b.stop)),
+owners AS (SELECT v, count(DISTINCT owner) AS n FROM spans JOIN d USING (rid) GROUP BY 1),
+judged AS (SELECT s.*, n >= {secrets.COPIED_OWNERS} AS copied, s.kind || ':' || s.start || ':' || s.stop AS shown FROM spans s JOIN owners USING (v) WHERE s.kind <> 'owned' OR n < {secrets.COPIED_OWNERS}),
+per AS (SELECT rid, string_agg(shown, ',' ORDER BY start, k) AS spans, string_agg(shown, ',' ORDER BY start, k) FILTER (kind <> 'owned') AS base,
+  count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS c, count(*) FILTER (kind = 'hex') AS h, count(*) FILTER (copied) AS n_copied, count(*) FILTER (NOT copied) AS n_live FROM judged GROUP BY 1)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_copied, 0) AS n_copied, coalesce(n_live, 0) AS n_live
+FROM d LEFT JOIN per USING (rid)
+"""
+
+
 ORACLES: dict[str, str] = {
+    "op3_secrets": _secrets_sql(),
+    "op4_line_dedup": """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+l AS (SELECT rid, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d WHERE text IS NOT NULL),
+s AS (SELECT *, list_filter(regexp_split_to_array(lower(line), '\\s+'), lambda x: x <> '') AS words, CAST(sum(len(line) + 1) OVER (PARTITION BY rid ORDER BY i) AS BIGINT) - len(line) - 1 AS start FROM l),
+n AS (SELECT rid, i, len(words) >= 8 AND row_number() OVER (PARTITION BY len(words) >= 8, array_to_string(words, ' ') ORDER BY doc_id, start) > 1 AS again FROM s),
+j AS (SELECT s.rid, s.i, line, again, start, start + len(line) AS stop FROM s JOIN n ON n.rid = s.rid AND n.i = s.i),
+g AS (SELECT rid, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT again), '') AS text, coalesce(string_agg(start || ':' || stop, ',' ORDER BY i) FILTER (again), '') AS removed, count(*) FILTER (again) AS n_removed, CAST(coalesce(sum(stop - start) FILTER (again), 0) AS BIGINT) AS n_chars_removed FROM j GROUP BY 1)
+SELECT doc_id, g.text AS text, coalesce(removed, '') AS removed, coalesce(n_removed, 0) AS n_removed, coalesce(n_chars_removed, 0) AS n_chars_removed FROM d LEFT JOIN g USING (rid)
+""",
     "op8_topk": """
 WITH base AS (
   SELECT vec_id, row_number() OVER () AS rid, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
