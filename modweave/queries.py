@@ -411,3 +411,64 @@ def changed_files(f: Facts):
     now = docs.select(F.col("doc_id").cast("string").alias("path"), F.col("n_chars").cast("double").alias("mtime_ms"))
     before = docs.filter("doc_id % 7 <> 0").select(F.col("doc_id").cast("string").alias("path"), (F.col("n_chars") + F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0)).cast("double").alias("mtime_ms"))
     return changed(now, before).select(F.col("path").cast("long").alias("doc_id"), "state")
+
+
+# Source texts that say what the facts say, through the extractor and the rewrites
+
+
+def _wide(f: Facts) -> DataFrame:
+    from modweave.sources.files import extract
+
+    return extract(f.sources())
+
+
+_SPEC = "'../../pkg' || (b % 6) || '/d' || (b % 40) || '/m' || b"
+
+
+@query(f"SELECT DISTINCT path, CASE WHEN symbol_name = '*' THEN 'ns' ELSE symbol_name END || '_m' || b AS local_name, {_SPEC} AS spec FROM import_keys JOIN modules ON key = a")
+def extracted_imports(f: Facts):
+    return _wide(f).select("path", F.explode("imports").alias("i")).select("path", F.col("i.local").alias("local_name"), F.col("i.spec").alias("spec"))
+
+
+@query("SELECT path, symbol_name, module_spec FROM reexports")
+def extracted_reexports(f: Facts):
+    return _wide(f).select("path", F.explode("reexports").alias("r")).select("path", F.col("r.name").alias("symbol_name"), F.col("r.spec").alias("module_spec"))
+
+
+@query("SELECT path, nodejs FROM needs")
+def extracted_needs(f: Facts):
+    return _wide(f).select("path", (F.size("node_globals") > 0).alias("nodejs"))
+
+
+@query("SELECT DISTINCT importer_path, importer_tsconfig, exporter_path, exporter_tsconfig FROM imports WHERE exporter_path IS NOT NULL")
+def extracted_edges(f: Facts):
+    from modweave.sources.files import extract, facts
+
+    files = f.sources()
+    configs = f.modules().select(F.col("tsconfig").alias("path")).distinct().select("path", F.create_map().cast("map<string,array<string>>").alias("paths"), F.lit(None).cast("string").alias("base_url"), F.lit(None).cast("string").alias("root_dir"))
+    imports = facts(extract(files), files, configs)["imports"]
+    return imports.filter("exporter_path IS NOT NULL").select("importer_path", "importer_tsconfig", "exporter_path", "exporter_tsconfig").distinct()
+
+
+@query("SELECT x.path AS path, count(DISTINCT (a.b, a.symbol_name = '*')) AS declarations FROM import_keys a JOIN modules x ON x.key = a.a GROUP BY 1 HAVING count(DISTINCT (a.b, a.symbol_name)) > count(DISTINCT (a.b, a.symbol_name = '*'))")
+def normalized_imports(f: Facts):
+    from modweave.plans.proposals import normalize_imports
+
+    lines = F.filter(F.split("new", "\n"), lambda x: x.startswith("import "))
+    return normalize_imports(f.sources(merged=False), "/repo").select("path", F.size(lines).cast("long").alias("declarations"))
+
+
+@query("""SELECT path, count(*) FILTER (kept) AS kept FROM (SELECT path, EXISTS (SELECT 1 FROM imports i WHERE i.exporter_path = r.path AND i.symbol_name IN (r.symbol_name, '*')) AS kept FROM reexports r) GROUP BY 1 HAVING count(*) FILTER (NOT kept) > 0""")
+def purged_reexports(f: Facts):
+    from modweave.plans.proposals import purge_reexports
+
+    lines = F.filter(F.split("new", "\n"), lambda x: x.startswith("export {"))
+    return purge_reexports(f.sources(), f.imports(), f.reexports()).select("path", F.size(lines).cast("long").alias("kept"))
+
+
+@query(f"SELECT DISTINCT importer_path AS path FROM imports WHERE exporter_path = '{_path(5)}'")
+def moved_importers(f: Facts):
+    from modweave.plans.proposals import move_file
+
+    edits = move_file(f.sources(), f.imports(), _path(5), "/repo/moved/m5.ts")
+    return edits.filter((F.col("path") != _path(5)) & F.col("new").contains("'../../moved/m5'")).select("path")

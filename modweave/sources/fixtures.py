@@ -72,6 +72,29 @@ class Facts:
         return self.import_keys().filter("kind = 'cross'").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
 
 
+    def sources(self, merged: bool = True) -> DataFrame:
+        """(path, mtime_ms, content): a source text for each module that says what the facts say.
+
+        Names carry the key of their module, so none is imported twice. Unless ``merged``, every
+        name has an import declaration of its own.
+        """
+        keys = self.import_keys().select("a", "b", "symbol_name").distinct()
+        spec = F.concat(F.lit("../../pkg"), (F.col("b") % 6).cast("string"), F.lit("/d"), (F.col("b") % 40).cast("string"), F.lit("/m"), F.col("b").cast("string"))
+        star = F.col("symbol_name") == "*"
+        local = F.concat("symbol_name", F.lit("_m"), F.col("b").cast("string"))
+        if merged:
+            named = keys.filter(~star).groupBy("a", "b").agg(F.array_join(F.sort_array(F.collect_set(local)), ", ").alias("names"))
+        else:
+            named = keys.filter(~star).select("a", "b", local.alias("names"))
+        lines = named.select("a", F.concat(F.lit("import { "), "names", F.lit(" } from '"), spec, F.lit("';")).alias("line"))
+        spaces = keys.filter(star).select("a", F.concat(F.lit("import * as ns_m"), F.col("b").cast("string"), F.lit(" from '"), spec, F.lit("';")).alias("line"))
+        texts = lines.unionByName(spaces).groupBy(module_path("a").alias("path")).agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("imports"))
+        again = self.reexports().groupBy("path").agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("export { "), "symbol_name", F.lit(" } from '"), "module_spec", F.lit("';")))), "\n").alias("exports"))
+        need = F.when(F.col("nodejs"), "export const home = process.env.HOME;").otherwise("export type Process = typeof process;")
+        parts = self.needs().join(texts, "path", "left").join(again, "path", "left")
+        return parts.select("path", F.lit(0.0).alias("mtime_ms"), F.concat_ws("\n", "imports", "exports", need, F.lit("")).alias("content"))
+
+
 #: The same tables for DuckDB, as the head of a query.
 SQL = """
 WITH RECURSIVE n AS (SELECT count(*) AS n FROM part),
