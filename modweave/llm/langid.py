@@ -22,7 +22,7 @@ SAMPLE_PER_LANG = 1500
 MAX_CELLS = 12_000_000
 #: Contexts seen less often than this, by order, are left to the next shorter one.
 LEAST_SEEN = (0, 1, 8, 32)
-STEP = 4_000_000
+STEP = 1_000_000
 
 
 class Model:

@@ -18,8 +18,8 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-#: Entries of an encoder's cache, after which it starts anew.
-CACHE_CHUNKS = 800_000
+#: Entries of an encoder's two caches, after which each starts anew.
+CACHE_CHUNKS, CACHE_PARTS = 500_000, 500_000
 #: Tokens that a task holds before it packs them.
 BUFFER_TOKENS = 1_000_000
 
@@ -50,22 +50,33 @@ class Encoder(dict):
         self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
+        self._forget_parts()
 
     def clear(self) -> None:
         super().clear()
-        self.parts: dict[str, list[int]] = {}
         self.flat, self.starts = array.array("I"), array.array("q", [0])
 
-    def _part(self, part: str) -> list[int]:
-        ids = self.parts[part] = [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]
-        return ids
+    def _forget_parts(self) -> None:
+        self.parts: dict[str, int] = {}  # start of the ids in ``part_ids``, shifted, and their number
+        self.part_ids = array.array("I")
+
+    def _part(self, part: str) -> int:
+        if len(self.parts) > CACHE_PARTS:
+            self._forget_parts()
+        ids = [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]
+        if len(ids) >= 1 << 12:  # too long to be worth keeping
+            self.flat.extend(ids)
+            return 0
+        at = self.parts[part] = len(self.part_ids) << 12 | len(ids)
+        self.part_ids.extend(ids)
+        return at
 
     def __missing__(self, chunk: bytes) -> int:
         text = chunk.decode()
         if _SIMPLE.fullmatch(text) and not any(s in text for s in self.special):
             for part in _PARTS.findall(text.lower()):
-                ids = self.parts.get(part)
-                self.flat.extend(ids if ids is not None else self._part(part))
+                at = self.parts.get(part) or self._part(part)
+                self.flat.extend(self.part_ids[at >> 12 : (at >> 12) + (at & 4095)])
         else:
             self.flat.extend(self.tokenizer.encode(text, add_special_tokens=False).ids)
         at = self[chunk] = len(self.starts) - 1
@@ -74,7 +85,7 @@ class Encoder(dict):
 
     def encode(self, texts: list[bytes], end: int) -> list[np.ndarray]:
         """ids of each text and the id ``end``."""
-        if len(self) > CACHE_CHUNKS:
+        if len(self) > CACHE_CHUNKS or len(self.flat) > 16 * CACHE_CHUNKS:
             self.clear()
         out = []
         for text in texts:
