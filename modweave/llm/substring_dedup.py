@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from modweave.runtime import cut
 
+#: Digests of at most so many occurrences are never treated as common.
+HOT_UNITS = 200
+
 
 def units(text: str, separator: str, min_words: int) -> list[tuple[int, int, bytes]]:
     """(start, end, digest) of the units of at least ``min_words`` words, in code points."""
@@ -55,8 +58,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", separ
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(of, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(digest, pa.binary())], names=["_id", "_of", "_start", "_end", "digest"])
 
     found = cut(base.filter("_text IS NOT NULL").mapInArrow(split, f"_id {kind}, _of long, _start long, _end long, digest binary"))
-    first = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_of", "_start")).alias("first")).filter("n > 1").select("digest", "first")
-    again = found.join(first, "digest").filter(~F.struct("_id", "_of", "_start").eqNullSafe(F.col("first")))
+    first = cut(found.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_of", "_start")).alias("first")).filter("n > 1"))
+    # digests of over a thousandth of all units are at most a thousand: they meet their occurrences where those are
+    common = F.col("n") > max(HOT_UNITS, found.count() // 1000)
+    hot, rare = F.broadcast(first.filter(common).drop("n")), first.filter(~common).drop("n")
+    met = found.join(hot, "digest").unionByName(found.join(hot, "digest", "left_anti").join(rare, "digest"))
+    again = met.filter(~F.struct("_id", "_of", "_start").eqNullSafe(F.col("first")))
     spans = again.groupBy("_id", "_of").agg(F.array_sort(F.collect_set(F.struct(F.col("_start").alias("start"), F.col("_end").alias("end")))).alias("removed"))
     b, s = base.alias("b"), spans.alias("s")
     joined = b.join(s, F.col("b._id").eqNullSafe(F.col("s._id")) & (F.col("b._of") == F.col("s._of")), "left").select("b._id", "_text", F.coalesce("removed", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("removed"))

@@ -163,7 +163,9 @@ def test_redaction_and_odd_rows(odd, empty, spark):
     assert secrets.find(empty).count() == 0
 
 
-def test_lines_match_brute_force(docs, rows):
+@pytest.mark.parametrize("hot", [0, 200])
+def test_lines_match_brute_force(monkeypatch, docs, rows, hot):
+    monkeypatch.setattr(substring_dedup, "HOT_UNITS", hot)
     seen, want = set(), {}
     for name, text in sorted(zip(rows["doc_id"], rows["text"], strict=True)):
         at = 0
