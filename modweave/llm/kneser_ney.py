@@ -26,7 +26,9 @@ from modweave.runtime import cut
 BLOCK_BYTES = 16_000_000
 SHARDS = 32
 #: Trusted ids are broadcast up to this many rows, and joined by a shuffle beyond.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 500_000
+#: Blocks whose grams meet in one task; beyond, the counts are sent to several tasks of a shard.
+PARTITIONS_PER_TASK = 32
 
 
 def shard_of(grams: np.ndarray) -> np.ndarray:
@@ -150,7 +152,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     shared = spark.sparkContext.broadcast(model)
 
     def answer(key: tuple, counted: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        lang, shard = key
+        lang, shard, _ = key
         out = {"block": asked["block"].to_numpy(), "lang": [lang] * len(asked), "shard": np.full(len(asked), shard, np.int32)}
         if lang not in shared.value or not len(asked):
             return pd.DataFrame(out | {"bits": [b""] * len(asked)})
@@ -181,9 +183,14 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
                 out[own] = np.where(sizes > 0, np.exp2(-sums / sizes), np.nan)
         return pd.DataFrame({"_id": texts["_id"], "lang": texts["lang"], "perplexity": out, "n_bytes": [zstandard.frame_content_size(z) for z in texts["data"]]})
 
-    asked = rows.mapInArrow(_gram_sets, "block long, lang string, shard int, grams binary")
+    # the blocks of a partition go to one of ``groups`` copies of each shard, so a task's share does not grow with the input
+    last = rows.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0] or 0
+    groups = last // PARTITIONS_PER_TASK + 1
+    group = F.pmod(F.shiftright("block", 24), F.lit(groups).cast("long"))
+    asked = rows.mapInArrow(_gram_sets, "block long, lang string, shard int, grams binary").withColumn("copy", group)
     shard = F.expr(f"cast(((shiftright(gram, 8) & 65535) * 2654435761L >> 12) % {SHARDS} as int)")
-    answers = counts.withColumn("shard", shard).groupBy("lang", "shard").cogroup(asked.groupBy("lang", "shard")).applyInPandas(answer, "block long, lang string, shard int, bits binary")
+    sharded = counts.select("*", shard.alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("copy"))
+    answers = sharded.groupBy("lang", "shard", "copy").cogroup(asked.groupBy("lang", "shard", "copy")).applyInPandas(answer, "block long, lang string, shard int, bits binary")
     texts = rows.mapInArrow(_packer(), f"block long, _id {kind}, lang string, data binary")
     return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, f"_id {kind}, lang string, perplexity double, n_bytes long").select(F.col("_id").alias(id_col), "lang", F.nanvl("perplexity", F.lit(None)).alias("perplexity"), "n_bytes")
 
