@@ -195,6 +195,23 @@ def test_lines_of_odd_rows(odd, empty, spark):
     assert substring_dedup.dedup(empty).count() == 0
 
 
+def test_passages_cover_short_and_long_lines(spark):
+    verse = "roses are red\nviolets are blue\nsugar is sweet\nand so are you\nthe end"
+    long = "The old harbour was quiet that morning and no boat had left. Only the gulls moved over the grey water as the fog rose."
+    dense = "這是一段沒有空格的文字它在兩個文件中重複出現而且長度足夠被視為一個完整的段落所以應該被刪除才對因為重複的內容沒有用處"
+    rows = [(1, f"{verse}\nfirst own line", "en", "s", 1), (2, f"other start\n{verse}", "en", "s", 1), (3, f"Alpha begins here. {long} Alpha is done.", "en", "s", 1), (4, f"Beta differs. {long} Beta closes now.", "en", "s", 1), (5, f"a\n{dense}", "zh", "s", 1), (6, f"b\n{dense}\nc", "zh", "s", 1), (7, "ha\n" * 20, "en", "s", 1), (8, None, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, DOC)
+    got = {r["doc_id"]: r["text"] for r in substring_dedup.dedup(docs, passages=True).collect()}
+    assert got[1] == rows[0][1] and got[3] == rows[2][1] and got[5] == rows[4][1]  # noqa: PT018
+    assert got[2] == "other start\n"
+    assert got[4] == "Beta differs. Beta closes now."
+    assert got[6] == "b\nc"
+    assert (got[7], got[8]) == ("ha\n" * 8, None)
+    for text in [verse, long, dense, "x", "ha\n" * 20]:
+        inside = {k for a, b, _ in substring_dedup.runs(text, 8) for k in range(a, b)}
+        assert all(c.isspace() or k in inside for k, c in enumerate(text))
+
+
 def test_packing_round_trip(docs, rows, odd):
     from tokenizers import Tokenizer
 
