@@ -1,9 +1,9 @@
 """Secret scan with corpus-wide ownership frequency, in DataFrame functions only.
 
 Three kinds of base spans are always reported. Every candidate value is hashed and counted over
-the distinct owners and repositories that hold it: values of many owners are copied examples,
-values of few owners look live. The method adds spans of kind ``owned``: long mixed strings
-outside the base spans that belong to few owners.
+the distinct owners and repositories that hold it: values of many owners, or of many repositories
+of whatever owners, are copied examples; the others look live. The method adds spans of kind ``owned``: long mixed strings
+outside the base spans that are not copied.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from modweave.runtime import cut
 
 #: Values held by at least so many distinct owners are copied examples.
 COPIED_OWNERS = 3
+#: So are values in at least so many distinct repositories, be it of one owner or of unknown ones.
+COPIED_REPOS = 20
 
 
 def _any_case(word: str) -> str:
@@ -78,7 +80,7 @@ def _text_of(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", copied_owners: int = COPIED_OWNERS) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", copied_owners: int = COPIED_OWNERS, copied_repos: int = COPIED_REPOS) -> DataFrame:
     """A row per row of ``docs``: id, n_assign, n_access, n_hex, base_sha256, spans, n_copied, n_live, and ``found`` (the spans).
 
     ``found`` has start, end (exclusive, code points), kind (position in ``KINDS``) and hash. A null
@@ -89,7 +91,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     scanned = cut(scan(read, "_text").select(F.monotonically_increasing_id().alias("_row"), "_id", "_owner", "_repo", "_base", "_more"))
     each = scanned.select("_row", "_owner", "_repo", F.explode(F.concat("_base", "_more")).alias("span"))
     counted = ownership(each.select(F.col("span.hash").alias("hash"), F.col("_owner").alias("owner"), F.col("_repo").alias("repo")))
-    judged = each.join(counted, F.col("span.hash") == F.col("hash")).select("_row", "span", (F.col("n_owners") >= copied_owners).alias("copied")).filter(f"span.kind < {KINDS.index('owned')} OR NOT copied")
+    judged = each.join(counted, F.col("span.hash") == F.col("hash")).select("_row", "span", ((F.col("n_owners") >= copied_owners) | (F.col("n_repos") >= copied_repos)).alias("copied")).filter(f"span.kind < {KINDS.index('owned')} OR NOT copied")
     spans = judged.groupBy("_row").agg(F.array_sort(F.collect_list("span"), _order).alias("found"), F.count_if("copied").alias("n_copied"), F.count_if(~F.col("copied")).alias("n_live"))
     all_rows = scanned.select("_row", "_id", "_base").join(spans, "_row", "left")
     found = F.coalesce("found", F.array().cast(_SPAN))

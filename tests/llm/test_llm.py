@@ -154,6 +154,18 @@ def test_copied_values_are_told_apart(spark):
     assert got[9].startswith("owned:4:")
 
 
+def test_values_in_many_documents_of_one_source_are_copied(spark):
+    value, live = "Zz9Yy8Xx7Ww6Vv5Uu4Tt3", "Aa1Bb2Cc3Dd4Ee5Ff6Gg7"
+    rows = [(i, f"use {value} now", "en", source, 1) for i, source in enumerate(["hot", None] * 20)]
+    rows += [(100, f"use {live} now", "en", "hot", 1), (101, f"use {live} now", "en", "hot", 1), *[(102, "password=hunter2hunter2", "en", "hot", 1)] * 30]
+    got = {r["doc_id"]: r for r in secrets.find(spark.createDataFrame(rows, DOC)).collect()}
+    assert {got[i]["spans"] for i in range(40)} == {""}
+    assert got[100]["spans"] == got[101]["spans"] == "owned:4:25"
+    assert (got[102]["n_copied"], got[102]["n_live"]) == (0, 1)  # repeated rows are one repository
+    half = {r["doc_id"]: r["spans"] for r in secrets.find(spark.createDataFrame(rows, DOC).filter("source IS NULL")).collect()}
+    assert set(half.values()) == {""}  # 20 documents without a source
+
+
 def test_redaction_and_odd_rows(odd, empty, spark):
     rows = [(1, "a password=hunter2hunter2 b", "en", "s", 1), (2, "clean", "en", "s", 1), (3, None, "en", "s", 1), (4, "token=" + "0123456789abcdef" * 3 + " é end", "en", "s", 1)]
     got = {r["doc_id"]: r["text"] for r in secrets.redact(spark.createDataFrame(rows, DOC)).collect()}
