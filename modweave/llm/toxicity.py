@@ -19,9 +19,9 @@ SAMPLE_ROWS = 16_000
 BUCKETS = 1 << 18
 FACTORS = 6
 EPOCHS = 12
-#: Terms have a weight if they are in so many sampled documents, and either tell the labels apart
-#: by so many standard errors or are in so large a share of documents (they may matter in pairs).
-LEAST_DOCUMENTS, TELLING, FREQUENT = 4, 4.0, 0.01
+#: Terms have a weight and factors if they are in so many sampled documents, as any may matter in a
+#: pair; the weight starts at the log odds if they tell the labels apart by so many standard errors.
+LEAST_DOCUMENTS, TELLING = 4, 4.0
 _STRIP = b".,;:!?\"'()[]{}<>#$%&*|-_"
 
 
@@ -66,7 +66,7 @@ class Machine:
         p = min(max(float(np.mean(y)), 1e-4), 1 - 1e-4)
         z = (toxic - p * seen) / np.sqrt(p * (1 - p) * np.maximum(seen, 1))
         telling = np.abs(z) >= TELLING
-        keep = (seen >= LEAST_DOCUMENTS) & (seen <= 0.5 * len(docs)) & (telling | (seen >= FREQUENT * len(docs)))
+        keep = seen >= LEAST_DOCUMENTS
         start = np.append(np.where(keep & telling, np.log((toxic + 0.5 * p) / (seen - toxic + 0.5 * (1 - p))) - np.log(p / (1 - p)), 0), 0).astype(np.float32)
         self.w0 = float(np.log(p / (1 - p)))
         docs = [np.concatenate([d[keep[d]], [BUCKETS]]).astype(np.int64) for d in docs]  # the last bucket is a sentinel without weight
@@ -84,10 +84,11 @@ class Machine:
                 z, sums = self.raw(at, starts)
                 error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[own]).astype(np.float32)
                 each = np.repeat(error, size)
-                x, inverse = np.unique(at, return_inverse=True)
+                x, inverse, held = np.unique(at, return_inverse=True, return_counts=True)
                 dw = np.bincount(inverse, each) / len(own) + shrink * (w[x] - start[x])
                 grad = each[:, None] * (np.repeat(sums, size, axis=0) - v[at])
-                dv = np.stack([np.bincount(inverse, grad[:, f]) for f in range(FACTORS)], 1) / len(own) + shrink * v[x]
+                # over the documents that hold the term: over the batch, factors of rare terms would never leave zero
+                dv = np.stack([np.bincount(inverse, grad[:, f]) for f in range(FACTORS)], 1) / held[:, None] + shrink * v[x]
                 gw[x] += dw**2
                 gv[x] += dv**2
                 w[x] -= (rate * dw / np.sqrt(gw[x])).astype(np.float32)

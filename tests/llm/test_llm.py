@@ -442,6 +442,23 @@ def test_factor_machine_learns_pairs():
     assert one < -0.8
 
 
+def test_factor_machine_learns_pairs_with_rare_neutral_terms():
+    random = np.random.default_rng(5)
+    docs, y = [], []
+    for _ in range(16000):
+        own = set(random.integers(100, 140, 6).tolist())
+        insult, group = random.random() < 0.3, random.random() < 0.005
+        own |= ({1} if insult else set()) | ({2} if group else set())
+        docs.append(np.array(sorted(own), np.int32))
+        y.append(int(random.random() < ((0.95 if insult else 0) if group else 0.3)))
+    own = np.array(y)[[2 in d for d in docs]]
+    assert abs(own.mean() - np.mean(y)) < 0.05  # the mention alone tells nothing
+    m = toxicity.Machine().fit(docs, np.array(y))
+    both, insult, group, none = (m.raw(np.array(d), np.array([0]))[0][0] for d in ([1, 2, 110], [1, 110], [2, 110], [110]))
+    assert both > insult
+    assert both - insult - group + none > 0.4
+
+
 def test_toxicity_of_tables(spark, odd, empty):
     from modweave.llm.folds import held_out
 
