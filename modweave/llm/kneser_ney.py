@@ -1,7 +1,7 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of bytes, order 4.
 
 The model is trained on all trusted text, a model for each language. Its two upper orders are
-counts that grow with the corpus; they are sharded by the two middle bytes of a gram, which all
+counts that grow with the corpus until most 4-byte grams of a language are seen; they are sharded by the two middle bytes of a gram, which all
 counts that one probability needs have in common. The two lower orders are at most 65,536 cells a
 language and travel with the tasks.
 
