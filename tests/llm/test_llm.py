@@ -219,6 +219,8 @@ def test_passages_cover_short_and_long_lines(spark):
     assert got[4] == "Beta differs. Beta closes now."
     assert got[6] == "b\nc"
     assert (got[7], got[8]) == ("ha\n" * 8, None)
+    kept = substring_dedup.dedup(docs).filter("doc_id = 4").first()["text"]
+    assert kept == rows[3][1]  # by lines, the passage inside two long lines stays
     for text in [verse, long, dense, "x", "ha\n" * 20]:
         inside = {k for a, b, _ in substring_dedup.runs(text, 8) for k in range(a, b)}
         assert all(c.isspace() or k in inside for k, c in enumerate(text))
