@@ -46,7 +46,7 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the lines that an earlier document (or place) has."""
+    """Every document without the passages of lines and sentences that an earlier document (or place) has."""
     out = substring_dedup.dedup(_table(spark, sf_dir, "documents"))
     spans = F.array_join(F.transform("removed", lambda r: F.concat_ws(":", r["start"].cast("string"), r["end"].cast("string"))), ",")
     return out.withColumn("removed", spans)
@@ -119,17 +119,33 @@ FROM d LEFT JOIN per USING (rid)
 """
 
 
+def _dedup_sql() -> str:
+    """Units are runs of pieces from each piece on, and one that ends the text; the first of equals stays."""
+    words, least = substring_dedup.MIN_WORDS, substring_dedup.MIN_BYTES
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+p AS (SELECT rid, doc_id, unnest(ps) AS piece, generate_subscripts(ps, 1) AS k FROM (SELECT rid, doc_id, regexp_extract_all(text, '{substring_dedup.pieces_pattern(substring_dedup.BREAKS)}') AS ps FROM d WHERE text IS NOT NULL)),
+o AS (SELECT *, CAST(sum(len(piece)) OVER (PARTITION BY rid ORDER BY k) AS BIGINT) AS stop, regexp_extract_all(translate(piece, '{upper}', '{upper.lower()}'), '[^\x20\x09-\x0D]+') AS words FROM p),
+w AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY k) AS i, count(*) OVER (PARTITION BY rid) AS n, sum(len(words)) OVER (PARTITION BY rid ORDER BY k) AS many, sum(strlen(array_to_string(words, ''))) OVER (PARTITION BY rid ORDER BY k) AS size FROM o WHERE len(words) > 0),
+own AS (SELECT rid, list(array_to_string(words, ' ') ORDER BY i) AS own FROM w GROUP BY 1),
+f AS (SELECT a.rid, a.i, a.n, min(b.i) AS j FROM w a JOIN w b ON a.rid = b.rid AND b.i BETWEEN a.i AND a.i + {words - 1} WHERE b.many - a.many + len(a.words) >= {words} OR b.size - a.size + strlen(array_to_string(a.words, '')) >= {least} GROUP BY ALL),
+r AS (SELECT rid, i, j FROM f UNION SELECT rid, max(i), max(n) FROM f GROUP BY 1),
+u AS (SELECT r.rid, a.doc_id, a.stop - len(a.piece) AS start, b.stop, array_to_string(own[r.i:r.j], ' ') AS unit FROM r JOIN own ON own.rid = r.rid JOIN w a ON a.rid = r.rid AND a.i = r.i JOIN w b ON b.rid = r.rid AND b.i = r.j),
+g AS (SELECT rid, start, stop, first_value(rid) OVER e AS f_rid, first_value(stop) OVER e AS f_stop, row_number() OVER e AS turn FROM u WINDOW e AS (PARTITION BY unit ORDER BY doc_id, start, stop)),
+x AS (SELECT rid, CASE WHEN rid = f_rid THEN greatest(start, f_stop) ELSE start END AS start, stop FROM g WHERE turn > 1),
+c AS (SELECT o.rid, o.k, o.piece, o.stop, EXISTS (SELECT 1 FROM x WHERE x.rid = o.rid AND x.start <= o.stop - len(o.piece) AND o.stop <= x.stop) AS gone FROM o),
+s AS (SELECT rid, min(stop - len(piece)) AS start, max(stop) AS stop FROM (SELECT *, k - row_number() OVER (PARTITION BY rid ORDER BY k) AS island FROM c WHERE gone) GROUP BY rid, island),
+t AS (SELECT rid, string_agg(piece, '' ORDER BY k) FILTER (NOT gone) AS text FROM c GROUP BY 1),
+z AS (SELECT rid, string_agg(start || ':' || stop, ',' ORDER BY start) AS removed, count(*) AS n_removed, CAST(sum(stop - start) AS BIGINT) AS n_chars_removed FROM s GROUP BY 1)
+SELECT doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(t.text, '') END AS text, coalesce(removed, '') AS removed, coalesce(n_removed, 0) AS n_removed, coalesce(n_chars_removed, 0) AS n_chars_removed
+FROM d LEFT JOIN t USING (rid) LEFT JOIN z USING (rid)
+"""
+
+
 ORACLES: dict[str, str] = {
     "op3_secrets": _secrets_sql(),
-    "op4_line_dedup": """
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
-l AS (SELECT rid, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d WHERE text IS NOT NULL),
-s AS (SELECT *, list_filter(regexp_split_to_array(lower(line), '\\s+'), lambda x: x <> '') AS words, CAST(sum(len(line) + 1) OVER (PARTITION BY rid ORDER BY i) AS BIGINT) - len(line) - 1 AS start FROM l),
-n AS (SELECT rid, i, len(words) >= 8 AND row_number() OVER (PARTITION BY len(words) >= 8, array_to_string(words, ' ') ORDER BY doc_id, start) > 1 AS again FROM s),
-j AS (SELECT s.rid, s.i, line, again, start, start + len(line) AS stop FROM s JOIN n ON n.rid = s.rid AND n.i = s.i),
-g AS (SELECT rid, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT again), '') AS text, coalesce(string_agg(start || ':' || stop, ',' ORDER BY i) FILTER (again), '') AS removed, count(*) FILTER (again) AS n_removed, CAST(coalesce(sum(stop - start) FILTER (again), 0) AS BIGINT) AS n_chars_removed FROM j GROUP BY 1)
-SELECT doc_id, g.text AS text, coalesce(removed, '') AS removed, coalesce(n_removed, 0) AS n_removed, coalesce(n_chars_removed, 0) AS n_chars_removed FROM d LEFT JOIN g USING (rid)
-""",
+    "op4_line_dedup": _dedup_sql(),
     "op8_topk": """
 WITH base AS (
   SELECT vec_id, row_number() OVER () AS rid, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v

@@ -1,78 +1,65 @@
-"""Substring deduplication by hashing lines (or paragraphs).
+"""Substring deduplication by hashing lines and sentences.
 
-Units are normalised (case, white space) and hashed to 128 bits. Digests are grouped over the whole
+A text is cut into pieces at line and sentence ends. A unit is a run of neighbouring pieces, just
+long enough to count: one begins at every piece, and one more ends the text, so a repeated passage
+is found wherever it begins, in short lines, inside longer lines or across them. Units are
+normalised (case of A-Z, white space) and hashed to 128 bits. Digests are grouped over the whole
 corpus; the occurrence that ranks first, by document id and then offset, stays, and the others are
 cut out of their texts, with their offsets in the original text retained. Only digests that occur
 twice meet the occurrences again, and a digest's group is a count and a minimum, never a list.
-
-With ``passages`` the units are runs of lines and sentences instead, one from and one up to each of
-them, just long enough to count, so every word lies in a unit: a repeat in short lines, inside
-longer lines or in text without spaces is found wherever it begins.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from modweave.runtime import cut
 
-#: Digests of at most so many occurrences are never treated as common.
+#: Digests of at most so many occurrences are never treated as common; what is common changes the plan, not the result.
 HOT_UNITS = 200
-#: A run of lines and sentences counts at ``min_words`` words, or at so many characters without white space.
-MIN_CHARS = 48
-_BREAK = re.compile(r"\n|(?<=[.!?])[ \t]+|(?<=[。！？])")
-
-
-def units(text: str, separator: str, min_words: int) -> list[tuple[int, int, bytes]]:
-    """(start, end, digest) of the units of at least ``min_words`` words, in code points."""
-    out, at = [], 0
-    for unit in text.split(separator):
-        words = unit.lower().split()
-        if len(words) >= min_words:
-            out.append((at, at + len(unit), xxhash.xxh3_128_digest(" ".join(words).encode())))
-        at += len(unit) + len(separator)
-    return out
-
-
-def runs(text: str, min_words: int) -> list[tuple[int, int, bytes]]:
-    """(start, end, digest) of the shortest runs that count from and up to each line or sentence.
-
-    A text too short to count is one run.
-    """
-    pieces, at = [], 0
-    for a, b in [*((m.start(), m.end()) for m in _BREAK.finditer(text)), (len(text), len(text))]:
-        if words := text[at:a].lower().split():
-            pieces.append((at, a, words))
-        at = b
-    if not pieces:
-        return []
-    many, chars = [0], [0]
-    for _, _, words in pieces:
-        many.append(many[-1] + len(words))
-        chars.append(chars[-1] + sum(map(len, words)))
-    counts = lambda i, j: many[j] - many[i] >= min_words or chars[j] - chars[i] >= MIN_CHARS
-    n, found, i, j = len(pieces), set(), 0, 0
-    for i in range(n):  # from a piece
-        j = max(j, i + 1)
-        while j < n and not counts(i, j):
-            j += 1
-        if counts(i, j):
-            found.add((i, j))
-    i = 0
-    for j in range(1, n + 1):  # up to a piece
-        while i + 1 < j and counts(i + 1, j):
-            i += 1
-        if counts(i, j):
-            found.add((i, j))
-    return [(pieces[i][0], pieces[j - 1][1], xxhash.xxh3_128_digest(" ".join(w for _, _, words in pieces[i:j] for w in words).encode())) for i, j in sorted(found or {(0, n)})]
+#: A unit has at least so many words, or so many bytes besides white space (for text without spaces).
+MIN_WORDS, MIN_BYTES = 20, 200
+#: Characters that end a piece.
+BREAKS = ".!?。！？\n"
+
+
+def pieces_pattern(breaks: str) -> str:
+    """Regular expression (also for SQL) whose matches, one after the other, are the text."""
+    return f"[^{breaks}]*[{breaks}]+|[^{breaks}]+"
+
+
+def units(text: str, pattern: re.Pattern, min_words: int, min_bytes: int) -> list[tuple[int, int, int]]:
+    """(start, end, 128-bit digest) of the units of a text, in code points."""
+    spans, words = [], []
+    for m in pattern.finditer(text):
+        if own := m.group().encode("utf-8", "surrogatepass").lower().split():
+            spans.append(m.span())
+            words.append(own)
+    n, many, size = len(words), [0], [0]
+    for own in words:
+        many.append(many[-1] + len(own))
+        size.append(size[-1] + sum(map(len, own)))
+    counts = lambda i, j: many[j] - many[i] >= min_words or size[j] - size[i] >= min_bytes
+    found, j, last = [], 0, 0
+    for i in range(n):
+        if counts(i, n):
+            j, last = max(j, i + 1), i
+            while not counts(i, j):
+                j += 1
+            found.append((i, j))
+    if found and found[-1][1] < n:
+        found.append((last, n))  # the shortest that ends the text
+    joined = [b" ".join(own) for own in words]
+    return [(spans[i][0], spans[j - 1][1], xxhash.xxh3_128_intdigest(b" ".join(joined[i:j]))) for i, j in found]
 
 
 def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Sorted spans, those that overlap made one."""
+    """Sorted spans, those that touch made one."""
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
         if out and a <= out[-1][1]:
@@ -82,70 +69,63 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_runs(text: str, spans: list[tuple[int, int]]) -> str:
-    """``text`` without ``spans``; whole lines go with their line end, sentences with the blanks after them."""
+def remove(text: str, spans: list[tuple[int, int]]) -> str:
+    """``text`` without the disjoint ``spans``."""
     kept, at = [], 0
     for a, b in spans:
         kept.append(text[at:a])
-        while b < len(text) and text[b] in " \t":
-            b += 1
-        at = b + 1 if text[b : b + 1] == "\n" and (a == 0 or text[a - 1] == "\n") else b
+        at = b
     return "".join(kept) + text[at:]
 
 
-def remove(text: str, spans: list[tuple[int, int]], separator: str) -> str:
-    """``text`` without the units at ``spans``, each with one separator beside it."""
-    kept, at = [], 0
-    for a, b in sorted(spans):
-        kept.append(text[at:a])
-        at = min(len(text), b + len(separator))
-    out = "".join(kept) + text[at:]
-    return out[: -len(separator)] if spans and at >= len(text) and out.endswith(separator) and not text.endswith(separator) else out
-
-
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", separator: str = "\n", min_words: int = 8, passages: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", breaks: str = BREAKS, min_words: int = MIN_WORDS, min_bytes: int = MIN_BYTES) -> DataFrame:
     """id, text (without repeated units), removed (array of start and end in the original), n_removed, n_chars_removed.
 
-    One row per row of ``docs``. A null text stays null. Rows that repeat id and text are one
-    document, whose rows stay alike. The null id ranks first. Units under ``min_words`` words are
-    left alone, unless ``passages`` makes units of :func:`runs`; ``removed`` then has their unions,
-    and a run that overlaps its own first occurrence loses only what lies beyond it. Empty input
-    gives no rows; other columns are not read.
+    One row per row of ``docs``. ``removed`` has the unions of the repeated units; a unit that
+    overlaps its own first occurrence loses only what lies beyond it. ``breaks`` are the characters
+    that end a piece: a line end alone gives units of whole lines. A null text stays null; empty
+    texts and those with no unit (shorter than ``min_words`` words and ``min_bytes`` bytes) stay as
+    they are. Of ties between equal units the least (id, hash of the text, offset) stays; a null id
+    ranks first. Rows that repeat id and text are one document, whose rows stay alike. Long texts
+    are split in one pass. Empty input gives no rows; other columns, whatever their names, are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_of"), F.col(text_col).alias("_text"))
+    source = pieces_pattern(breaks)
 
     def split(batches):
+        pattern = re.compile(source)
         for batch in batches:
-            ids, of, start, end, digest = [], [], [], [], []
-            for name, own, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                for a, b, d in runs(text, min_words) if passages else units(text, separator, min_words):
-                    ids.append(name), of.append(own), start.append(a), end.append(b), digest.append(d)  # noqa: B018
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(of, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(digest, pa.binary())], names=["_id", "_of", "_start", "_end", "digest"])
-
-    found = cut(base.filter("_text IS NOT NULL").mapInArrow(split, f"_id {kind}, _of long, _start long, _end long, digest binary"))
-    first = cut(found.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_of", "_start", "_end")).alias("first")).filter("n > 1"))
+            rows, spans, digests = [], [], []
+            for k, text in enumerate(batch.column(2).to_pylist()):
+                own = units(text, pattern, min_words, min_bytes)
+                rows.extend([k] * len(own))
+                spans.extend(a << 32 | b for a, b, _ in own)
+                digests.append(b"".join(d.to_bytes(16, "little") for _, _, d in own))
+            halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), batch.column(0).take(at), batch.column(1).take(at), pa.array(spans, pa.int64())], names=["low", "high", "_id", "_of", "_span"])
+
+    # a span is its start and end in one number: a unit is five numbers
+    found = cut(base.filter("_text IS NOT NULL").mapInArrow(split, f"low long, high long, _id {kind}, _of long, _span long"))
+    first = cut(found.groupBy("low", "high").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_of", "_span")).alias("first")).filter("n > 1"))
     # digests of over a thousandth of all units are at most a thousand: they meet their occurrences where those are
     common = F.col("n") > max(HOT_UNITS, found.count() // 1000)
     hot, rare = F.broadcast(first.filter(common).drop("n")), first.filter(~common).drop("n")
-    met = found.join(hot, "digest").unionByName(found.join(hot, "digest", "left_anti").join(rare, "digest"))
-    again = met.filter(~F.struct("_id", "_of", "_start", "_end").eqNullSafe(F.col("first")))
-    if passages:
-        beside = F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("_of") == F.col("first._of"))
-        again = again.withColumn("_start", F.when(beside, F.greatest("_start", "first._end")).otherwise(F.col("_start"))).filter("_start < _end")
-    spans = again.groupBy("_id", "_of").agg(F.array_sort(F.collect_set(F.struct(F.col("_start").alias("start"), F.col("_end").alias("end")))).alias("removed"))
+    met = found.join(hot, ["low", "high"]).unionByName(found.join(hot, ["low", "high"], "left_anti").join(rare, ["low", "high"]))
+    end = lambda c: c.bitwiseAND(0xFFFFFFFF)
+    again = met.filter(~F.struct("_id", "_of", "_span").eqNullSafe(F.col("first"))).select("_id", "_of", F.shiftright("_span", 32).alias("start"), end(F.col("_span")).alias("end"), "first")
+    beside = F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("_of") == F.col("first._of"))
+    again = again.withColumn("start", F.when(beside, F.greatest("start", end(F.col("first._span")))).otherwise(F.col("start"))).filter("start < end")
+    spans = again.groupBy("_id", "_of").agg(F.collect_set(F.struct("start", "end")).alias("removed"))
     b, s = base.alias("b"), spans.alias("s")
     joined = b.join(s, F.col("b._id").eqNullSafe(F.col("s._id")) & (F.col("b._of") == F.col("s._of")), "left").select("b._id", "_text", F.coalesce("removed", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("removed"))
 
     def clean(batches):
         for batch in batches:
-            if passages:
-                spans = [union([(x["start"], x["end"]) for x in own]) for own in batch.column(2).to_pylist()]
-                texts = [t if not own else remove_runs(t, own) for t, own in zip(batch.column(1).to_pylist(), spans, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array([[{"start": a, "end": b} for a, b in own] for own in spans], batch.schema.field(2).type)], names=[id_col, "text", "removed"])
-                continue
-            texts = [t if not spans else remove(t, [(x["start"], x["end"]) for x in spans], separator) for t, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), batch.column(2)], names=[id_col, "text", "removed"])
+            spans = [union([(x["start"], x["end"]) for x in own]) for own in batch.column(2).to_pylist()]
+            texts = [remove(t, own) if own else t for t, own in zip(batch.column(1).to_pylist(), spans, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array([[{"start": a, "end": b} for a, b in own] for own in spans], batch.schema.field(2).type)], names=[id_col, "text", "removed"])
 
     out = joined.mapInArrow(clean, f"`{id_col}` {kind}, text string, removed array<struct<start:bigint,end:bigint>>")
     return out.select("*", F.size("removed").cast("long").alias("n_removed"), F.aggregate("removed", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"]).alias("n_chars_removed"))

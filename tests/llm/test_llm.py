@@ -175,54 +175,75 @@ def test_redaction_and_odd_rows(odd, empty, spark):
     assert secrets.find(empty).count() == 0
 
 
+def slow_dedup(texts, words=20, size=200):
+    """{document: removed spans}: every unit is compared with all units before it."""
+    first, gone = {}, {}
+    for name, text in sorted(texts.items()):
+        pieces, at = [], 0
+        for part in re.split(r"(?<=[.!?。！？\n])(?![.!?。！？\n])", text):
+            pieces += [(at, at + len(part), re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), part)))]
+            at += len(part)
+        pieces = [p for p in pieces if p[2]]
+        enough = lambda run: sum(len(p[2]) for p in run) >= words or sum(len(w.encode()) for p in run for w in p[2]) >= size
+        runs = [next(((i, j) for j in range(i + 1, len(pieces) + 1) if enough(pieces[i:j])), None) for i in range(len(pieces))]
+        runs = [r for r in runs if r]
+        if runs and (runs[-1][0], len(pieces)) not in runs:
+            runs.append((runs[-1][0], len(pieces)))
+        cut = set()
+        for a, b, unit in sorted((pieces[i][0], pieces[j - 1][1], tuple(w for p in pieces[i:j] for w in p[2])) for i, j in runs):
+            who, end = first.setdefault(unit, (name, b))
+            if (who, end) != (name, b):
+                cut.update(range(max(a, end) if who == name else a, b))
+        spans = []
+        for k in sorted(cut):
+            if spans and spans[-1][1] == k:
+                spans[-1][1] = k + 1
+            else:
+                spans.append([k, k + 1])
+        if spans:
+            gone[name] = [tuple(x) for x in spans]
+    return gone
+
+
 @pytest.mark.parametrize("hot", [0, 200])
-def test_lines_match_brute_force(monkeypatch, docs, rows, hot):
+def test_passages_match_brute_force(monkeypatch, docs, rows, hot):
     monkeypatch.setattr(substring_dedup, "HOT_UNITS", hot)
-    seen, want = set(), {}
-    for name, text in sorted(zip(rows["doc_id"], rows["text"], strict=True)):
-        at = 0
-        for line in text.split("\n"):
-            words = line.lower().split()
-            if len(words) >= 8:
-                if (key := " ".join(words)) in seen:
-                    want.setdefault(name, []).append((at, at + len(line)))
-                seen.add(key)
-            at += len(line) + 1
+    texts = dict(zip(rows["doc_id"], rows["text"], strict=True))
+    want = slow_dedup(texts)
     got = {r["doc_id"]: r for r in substring_dedup.dedup(docs).collect()}
-    assert len(got) == len(rows)
+    assert len(got) == len(rows) and len(want) > 20  # noqa: PT018
     assert {k: [tuple(s) for s in r["removed"]] for k, r in got.items() if r["n_removed"]} == want
-    texts = dict(zip(rows["doc_id"], rows["text"], strict=True))
     for k, r in got.items():
-        drop = {texts[k][a:b] for a, b in want.get(k, [])}
-        assert len(texts[k]) - len(r["text"]) >= sum(b - a for a, b in want.get(k, []))
-        assert r["text"] == texts[k] or drop
+        kept, at = "", 0
+        for a, b in want.get(k, []):
+            kept, at = kept + texts[k][at:a], b
+        assert r["text"] == kept + texts[k][at:]
 
 
-def test_lines_of_odd_rows(odd, empty, spark):
+def test_dedup_of_odd_rows(odd, empty, spark):
     line = "one two three four five six seven eight nine"
     rows = [(2, f"{line}\nown", "en", "s", 1), (1, f"{line.upper()}\n{line}", "en", "s", 1), (None, None, "en", "s", 1), (3, line, "en", "s", 1), (3, line, "en", "s", 1)]
-    got = sorted(((r["doc_id"], r["text"], r["n_removed"]) for r in substring_dedup.dedup(spark.createDataFrame(rows, DOC)).collect()), key=repr)
-    assert got == sorted([(2, "own", 1), (1, line.upper(), 1), (None, None, 0), (3, "", 1), (3, "", 1)], key=repr)
-    assert substring_dedup.dedup(clashing(odd)).count() == len(ODD)
+    lines = spark.createDataFrame(rows, DOC)
+    got = sorted(((r["doc_id"], r["text"], r["n_removed"]) for r in substring_dedup.dedup(lines, breaks="\n", min_words=8).collect()), key=repr)
+    assert got == sorted([(2, "own", 1), (1, line.upper() + "\n", 1), (None, None, 0), (3, "", 1), (3, "", 1)], key=repr)
+    assert {r["n_removed"] for r in substring_dedup.dedup(lines).collect()} == {0}  # nine words are no passage
+    for df in (odd, clashing(odd)):
+        assert sorted(((r["doc_id"], r["text"], r["n_removed"]) for r in substring_dedup.dedup(df).collect()), key=repr) == sorted(((r[0], r[1], 0) for r in ODD), key=repr)
     assert substring_dedup.dedup(empty).count() == 0
 
 
 def test_passages_cover_short_and_long_lines(spark):
-    verse = "roses are red\nviolets are blue\nsugar is sweet\nand so are you\nthe end"
+    verse = "roses are red\nviolets are blue\nsugar is sweet\nand so are you\nthe end of the song of the night\n"
     long = "The old harbour was quiet that morning and no boat had left. Only the gulls moved over the grey water as the fog rose."
-    dense = "這是一段沒有空格的文字它在兩個文件中重複出現而且長度足夠被視為一個完整的段落所以應該被刪除才對因為重複的內容沒有用處"
-    rows = [(1, f"{verse}\nfirst own line", "en", "s", 1), (2, f"other start\n{verse}", "en", "s", 1), (3, f"Alpha begins here. {long} Alpha is done.", "en", "s", 1), (4, f"Beta differs. {long} Beta closes now.", "en", "s", 1), (5, f"a\n{dense}", "zh", "s", 1), (6, f"b\n{dense}\nc", "zh", "s", 1), (7, "ha\n" * 20, "en", "s", 1), (8, None, "en", "s", 1)]
-    docs = spark.createDataFrame(rows, DOC)
-    got = {r["doc_id"]: r["text"] for r in substring_dedup.dedup(docs, passages=True).collect()}
+    dense = "這是一段沒有空格的文字它在兩個文件中重複出現。而且長度足夠被視為一個完整的段落。所以應該被刪除才對因為重複的內容沒有用處也沒有人想要讀它兩次。"
+    rows = [(1, f"{verse}first own line", "en", "s", 1), (2, f"other start\n{verse}", "en", "s", 1), (3, f"Alpha begins here. {long} Alpha is done.", "en", "s", 1), (4, f"Beta differs. {long} Beta closes now.", "en", "s", 1), (5, f"a\n{dense}", "zh", "s", 1), (6, f"b\n{dense}\nc", "zh", "s", 1), (7, "ha\n" * 60, "en", "s", 1), (8, None, "en", "s", 1)]
+    got = {r["doc_id"]: r["text"] for r in substring_dedup.dedup(spark.createDataFrame(rows, DOC)).collect()}
     assert got[1] == rows[0][1] and got[3] == rows[2][1] and got[5] == rows[4][1]  # noqa: PT018
-    assert got[2] == "other start\n"
-    assert got[4] == "Beta differs. Beta closes now."
-    assert got[6] == "b\nc"
-    assert (got[7], got[8]) == ("ha\n" * 8, None)
-    kept = substring_dedup.dedup(docs).filter("doc_id = 4").first()["text"]
-    assert kept == rows[3][1]  # by lines, the passage inside two long lines stays
-    for text in [verse, long, dense, "x", "ha\n" * 20]:
-        inside = {k for a, b, _ in substring_dedup.runs(text, 8) for k in range(a, b)}
+    assert (got[2], got[4], got[6]) == ("other start\n", "Beta differs. Beta closes now.", "b\nc")
+    assert (got[7], got[8]) == ("ha\n" * 20, None)  # a run that overlaps the first of its kind loses what lies beyond
+    pattern = re.compile(substring_dedup.pieces_pattern(substring_dedup.BREAKS))
+    for text in [verse, long, dense, "ha\n" * 60]:
+        inside = {k for a, b, _ in substring_dedup.units(text, pattern, 20, 200) for k in range(a, b)}
         assert all(c.isspace() or k in inside for k, c in enumerate(text))
 
 
