@@ -1,38 +1,109 @@
-"""Quality by perplexity under an interpolated modified Kneser-Ney model of bytes, order 4.
-
-The model is trained on all trusted text, a model for each language. Its two upper orders are
-counts that grow with the corpus until most 4-byte grams of a language are seen; they are sharded by the two middle bytes of a gram, which all
-counts that one probability needs have in common. The two lower orders are at most 65,536 cells a
-language and travel with the tasks.
-
-Documents are grouped into blocks of bounded size. A block sends each distinct gram once, as one
-sorted array for each shard; the shard joins it to the counts and answers with as many log
-probabilities; the block then scores its documents. So what is shuffled for the joins is the
-distinct grams of blocks, not the grams of documents.
+"""Quality by perplexity under an interpolated modified Kneser-Ney model of word bigrams.
+
+The model is trained on all trusted text, a model for each language. Words (and signs) are hashed
+to ``WORDS`` ids, and the model is exact over these ids. Bigram counts grow with the corpus and are
+sharded by a hash of the bigram; what is kept for each word (its unigram probability, and the total
+and the weight left by discounts where it is a context) has a fixed size for a language and travels
+with the tasks.
+
+Documents are read once. A block of documents sends each shard one sorted, packed array of its
+(bigram, document, count); the shard joins it to the counts and answers with a partial sum of log
+probabilities for each document; the sums of a block's shards are its documents' perplexities. No
+text is shuffled. Shards have copies by the bytes of the input, so a task's share does not grow.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from modweave.llm.bytegrams import codes
 from modweave.runtime import cut
 
-BLOCK_BYTES = 16_000_000
-SHARDS = 32
-#: Trusted ids are broadcast up to this many rows, and joined by a shuffle beyond.
+#: Ids of words; 0 stands before the first word of a text.
+WORD_BITS = 18
+WORDS = 1 << WORD_BITS
+BLOCK_BYTES, BLOCK_DOCS = 16_000_000, 1 << 16
+SHARDS = 64
+#: Bytes of text whose bigrams meet in one task, and arrays of counts that a task merges.
+TASK_BYTES, MERGED = 256_000_000, 32
+#: Trusted ids are broadcast up to this many rows, and joined by a shuffle beyond; the result is the same.
 BROADCAST_IDS = 500_000
-#: Blocks whose grams meet in one task; beyond, the counts are sent to several tasks of a shard.
-PARTITIONS_PER_TASK = 32
+_MASK = np.uint64(WORDS - 1)
+#: Letters of scripts without spaces are words of their own, and so are signs.
+_TOKEN = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+|[^\w\s]|_")
+
+
+class _Ids(dict):
+    """Id of a word; bounded."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        at = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) % (WORDS - 1) + 1
+        return at
+
+
+_ids = _Ids()
+
+
+def word_ids(text: str) -> np.ndarray:
+    """Ids of the words of a text."""
+    words = _TOKEN.findall(text.lower())
+    return np.fromiter(map(_ids.__getitem__, words), np.uint64, len(words))
+
+
+def bigrams(text: str) -> np.ndarray:
+    """The bigram of every word (the word before it in the high bits)."""
+    ids = word_ids(text)
+    before = np.concatenate([np.zeros(1, np.uint64), ids[:-1]]) if len(ids) else ids
+    return before << np.uint64(WORD_BITS) | ids
+
+
+def shard_of(keys: np.ndarray) -> np.ndarray:
+    return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (SHARDS - 1).bit_length())
+
 
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of unsigned integers, byte by byte of their numbers, compressed."""
+    out = []
+    for a in arrays:
+        width = max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
+        planes = a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+        out.append(np.array([len(a), width], "<u8").tobytes() + np.ascontiguousarray(planes.T).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
-def shard_of(grams: np.ndarray) -> np.ndarray:
-    return (((grams.astype(np.uint64) >> np.uint64(8)) & np.uint64(0xFFFF)) * np.uint64(2654435761) >> np.uint64(12)) % np.uint64(SHARDS)
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    raw, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
+    while at < len(raw):
+        n, width = np.frombuffer(raw, "<u8", 2, at).tolist()
+        planes = np.zeros((n, 8), np.uint8)
+        planes[:, :width] = np.frombuffer(raw, np.uint8, n * width, at + 16).reshape(width, n).T
+        out.append(planes.reshape(-1).view("<u8").astype(np.uint64))
+        at += 16 + n * width
+    return out
+
+
+def steps(keys: np.ndarray) -> np.ndarray:
+    """Differences of sorted keys, which pack well; their running sums are the keys."""
+    return np.diff(keys, prepend=np.uint64(0))
+
+
+def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted keys with their summed counts."""
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(counts, first)
 
 
 def discounts(counts: np.ndarray) -> np.ndarray:
@@ -44,182 +115,183 @@ def discounts(counts: np.ndarray) -> np.ndarray:
     return np.clip([1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], [0.05, 0.1, 0.15], [0.95, 1.9, 2.85])
 
 
-class Level:
-    """Discounted counts of sorted distinct grams whose context is all but the last byte."""
-
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, cuts: np.ndarray):
-        self.grams = grams
-        take = cuts[np.minimum(counts, 3).astype(np.int64) - 1]
-        self.contexts, at = np.unique(grams >> 8, return_inverse=True)
-        self.total = np.bincount(at, counts, len(self.contexts))
-        self.own = np.maximum(counts - take, 0) / self.total[at] if len(grams) else np.zeros(0)
-        self.left = np.bincount(at, np.minimum(take, counts), len(self.contexts)) / np.maximum(self.total, 1e-300)
-
-    def mix(self, grams: np.ndarray, below: np.ndarray) -> np.ndarray:
-        """Interpolated probabilities, given those of the next lower order."""
-        if not len(self.grams):
-            return below
-        k = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
-        own = np.where(self.grams[k] == grams, self.own[k], 0)
-        c = np.minimum(np.searchsorted(self.contexts, grams >> 8), len(self.contexts) - 1)
-        known = self.contexts[c] == grams >> 8
-        return np.where(known, own + self.left[c] * below, below)
-
-
 def count_of_counts(counts: np.ndarray) -> np.ndarray:
     return np.bincount(np.minimum(counts, 5).astype(np.int64), minlength=6)[1:5]
 
 
-def pair_table(pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Probability of the second byte of each of the 65,536 pairs, from continuation counts."""
-    ones, n = np.unique(pairs & 255, return_counts=True)
-    uniform = np.full(256, 1 / 256)
-    first = Level(ones, n.astype(np.float64), discounts(count_of_counts(n))).mix(np.arange(256), uniform)
-    return Level(pairs, counts.astype(np.float64), discounts(count_of_counts(counts))).mix(np.arange(65536), np.tile(first, 256))
+class Words:
+    """What a language's model keeps for each word id, from sums over all bigrams."""
 
+    def __init__(self, before: np.ndarray, total: np.ndarray, kinds: np.ndarray, often: np.ndarray):
+        """Distinct words before each id; occurrences as a context; its bigrams seen once, twice and more (3 rows); bigrams seen 1 to 4 times."""
+        self.cuts = discounts(often)
+        low = discounts(count_of_counts(before[before > 0]))
+        seen, all_before = np.minimum(before, 3), max(1.0, float(before.sum()))
+        take = np.concatenate([[0.0], low])[seen.astype(np.int64)]
+        left = np.minimum(take, before).sum() / all_before if before.any() else 1.0
+        self.unigram = (np.maximum(before - take, 0) / all_before + left / WORDS).astype(np.float64)
+        self.total = total.astype(np.float64)
+        self.left = np.where(total > 0, self.cuts @ kinds / np.maximum(total, 1), 1.0)
 
-def log_probabilities(grams: np.ndarray, counts: np.ndarray, asked: np.ndarray, cuts4: np.ndarray, cuts3: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """log2 p of the last byte of each asked gram; grams (sorted) and counts are those of its shard."""
-    level4 = Level(grams, counts.astype(np.float64), cuts4)
-    triples, before = np.unique(grams & 0xFFFFFF, return_counts=True)
-    level3 = Level(triples, before.astype(np.float64), cuts3)
-    return np.log2(level4.mix(asked, level3.mix(asked & 0xFFFFFF, pairs[asked & 0xFFFF])))
+    def log_probabilities(self, asked: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """log2 p of the second word of each asked bigram; ``keys`` (sorted) with ``counts`` hold those of its shard."""
+        context, word = (asked >> np.uint64(WORD_BITS)).astype(np.int64), (asked & _MASK).astype(np.int64)
+        own = np.zeros(len(asked))
+        if len(keys):
+            k = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+            c = np.where(keys[k] == asked, counts[k], 0).astype(np.float64)
+            own = np.maximum(c - np.concatenate([[0.0], self.cuts])[np.minimum(c, 3).astype(np.int64)], 0) / np.maximum(self.total[context], 1)
+        return np.log2(own + self.left[context] * self.unigram[word])
 
 
 def _blocks(batches):
-    """(block, ids, langs, texts): slices of batches, numbered within the partition."""
-    first, made = TaskContext.get().partitionId() << 24, 0
+    """(block, lang, ids, texts): rows of one language, of bounded size, numbered within the partition."""
+    first, made = TaskContext.get().partitionId() << 32, 0
     for batch in batches:
-        ids, langs, texts = (batch.column(k).to_pylist() for k in range(3))
-        k = 0
-        while k < len(texts):
-            e, size = k, 0
-            while e < len(texts) and (e == k or size + len(texts[e]) <= BLOCK_BYTES):
-                size += len(texts[e])
-                e += 1
-            yield first + made, ids[k:e], langs[k:e], texts[k:e]
-            made, k = made + 1, e
-
-
-def _by_lang(langs: list[str]) -> dict[str, list[int]]:
-    out: dict[str, list[int]] = {}
-    for k, lang in enumerate(langs):
-        out.setdefault(lang, []).append(k)
-    return out
-
-
-def _gram_counts(batches):
-    for _, _, langs, texts in _blocks(batches):
-        for lang, own in _by_lang(langs).items():
-            x, n = np.unique(codes([texts[k] for k in own])[0], return_counts=True)
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(x), pa.string()), "gram": pa.array(x.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
-
-
-def _gram_sets(batches):
-    for block, _, langs, texts in _blocks(batches):
-        rows: list[list] = [[], [], [], []]
-        for lang, own in _by_lang(langs).items():
-            x = np.unique(codes([texts[k] for k in own])[0])
-            shards = shard_of(x)
-            for s in range(SHARDS):
-                if len(mine := x[shards == s]):
-                    for column, value in zip(rows, (block, lang, s, mine.tobytes()), strict=True):
-                        column.append(value)
-        yield pa.RecordBatch.from_pydict({"block": pa.array(rows[0], pa.int64()), "lang": pa.array(rows[1], pa.string()), "shard": pa.array(rows[2], pa.int32()), "grams": pa.array(rows[3], pa.binary())})
+        by: dict[str, list[int]] = {}
+        langs, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        for k, lang in enumerate(langs):
+            by.setdefault(lang, []).append(k)
+        for lang, own in by.items():
+            k = 0
+            while k < len(own):
+                e, size = k, 0
+                while e < len(own) and (e == k or size + len(texts[own[e]]) <= BLOCK_BYTES and e - k < BLOCK_DOCS):
+                    size += len(texts[own[e]])
+                    e += 1
+                yield first + made, lang, batch.column(0).take(pa.array(own[k:e])), [texts[i] for i in own[k:e]]
+                made, k = made + 1, e
+
+
+def _counts(batches):
+    """(lang, shard, data): distinct bigrams of a block and their counts."""
+    for _, lang, _, texts in _blocks(batches):
+        keys, n = np.unique(np.concatenate([bigrams(t) for t in texts]), return_counts=True)
+        shards = shard_of(keys)
+        packed = [(s, pack(steps(keys[own]), n[own])) for s in range(SHARDS) if (own := shards == s).any()]
+        if packed:
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(packed), pa.string()), pa.array([s for s, _ in packed], pa.int32()), pa.array([d for _, d in packed], pa.binary())], names=["lang", "shard", "data"])
+
+
+def _requests(batches):
+    """A row for each shard of a block: (bigram, document, count); the first has the ids and numbers of words too."""
+    for block, lang, ids, texts in _blocks(batches):
+        each = [bigrams(t) for t in texts]
+        sizes = np.array([len(x) for x in each], np.uint64)
+        keys = np.concatenate(each)
+        pairs = keys << np.uint64(16) | np.repeat(np.arange(len(each), dtype=np.uint64), sizes.astype(np.int64))
+        pairs, n = np.unique(pairs, return_counts=True)
+        shards = shard_of(pairs >> np.uint64(16))
+        order = np.argsort(shards, kind="stable")
+        pairs, n, ends = pairs[order], n[order], np.searchsorted(shards[order], np.arange(SHARDS + 1))
+        rows = [(s, pack(steps(own >> np.uint64(16)), own & np.uint64(0xFFFF), n[ends[s] : ends[s + 1]])) for s in range(SHARDS) if len(own := pairs[ends[s] : ends[s + 1]]) or not s]
+        first = [k == 0 for k in range(len(rows))]
+        listed = pa.ListArray.from_arrays(pa.array([0] + [len(ids)] * len(rows), pa.int32()), ids)
+        yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.array([lang] * len(rows), pa.string()), pa.array([s for s, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary()), pa.array([pack(sizes) if f else None for f in first], pa.binary()), listed], names=["block", "lang", "shard", "data", "sizes", "ids"])
+
+
+def _merge(frame: pd.DataFrame) -> pd.DataFrame:
+    parts = [unpack(d) for d in frame["data"]]
+    keys, n = merged(np.concatenate([np.cumsum(k, dtype=np.uint64) for k, _ in parts]), np.concatenate([n for _, n in parts]))
+    return pd.DataFrame({"lang": frame["lang"].iloc[:1], "shard": frame["shard"].iloc[:1], "data": [pack(steps(keys), n)]})
+
+
+def _sums(frame: pd.DataFrame) -> pd.DataFrame:
+    """Sums for each word over the bigrams of some shards."""
+    total = None
+    for data in frame["data"]:
+        k, n = unpack(data)
+        keys = np.cumsum(k, dtype=np.uint64)
+        context, word = (keys >> np.uint64(WORD_BITS)).astype(np.int64), (keys & _MASK).astype(np.int64)
+        kinds = [np.bincount(context[n == c if c < 3 else n >= 3], minlength=WORDS) for c in (1, 2, 3)]
+        own = np.stack([np.bincount(word, minlength=WORDS), np.bincount(context, n, WORDS), *kinds]).astype(np.uint64)
+        often = count_of_counts(n).astype(np.uint64)
+        total = (own, often) if total is None else (total[0] + own, total[1] + often)
+    return pd.DataFrame({"lang": frame["lang"].iloc[:1], "data": [pack(*total[0], total[1])]})
+
+
+def _added(frame: pd.DataFrame) -> pd.DataFrame:
+    parts = [unpack(d) for d in frame["data"]]
+    return pd.DataFrame({"lang": frame["lang"].iloc[:1], "data": [pack(*(sum(x[1:], x[0]) for x in zip(*parts, strict=True)))]})
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(id, lang, perplexity, n_bytes) of every row: 2 to the mean bits of a byte under its language's model.
+    """(id, lang, perplexity, n_words) of every row: 2 to the mean bits of a word under its language's model.
 
     ``trusted`` has the ids of the trusted documents. A null language is a language of its own.
-    The perplexity is null for null and empty texts, and for languages without trusted text.
-    Repeated rows give repeated results; null ids are kept and never trusted.
+    The perplexity is null for texts that are null or without words, and for languages without
+    trusted text. Repeated rows give repeated results (and train as often as they are there); null
+    ids are kept and never trusted. Long texts are blocks of their own. Empty input gives no rows;
+    other columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("data"))
+    copies = (rows.agg(F.sum(F.octet_length("data").cast("long"))).first()[0] or 0) // (SHARDS * TASK_BYTES) + 1
     known = trusted.select(F.col(id_col).alias("_id")).filter("_id IS NOT NULL").distinct()
     known = F.broadcast(known) if known.count() <= BROADCAST_IDS else known
-    counts = cut(rows.join(known, "_id", "left_semi").select("_id", "lang", "data").mapInArrow(_gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    triples = counts.groupBy("lang", F.col("gram").bitwiseAND(0xFFFFFF).alias("gram")).agg(F.count("*").alias("n"))
+    counts = rows.join(known, "_id", "left_semi").select("_id", "lang", "data").mapInArrow(_counts, "lang string, shard int, data binary")
+    groups = copies  # a shard's arrays are merged a few at a time, in as many rounds as that takes
+    while groups > 1:
+        counts = counts.groupBy("lang", "shard", F.pmod(F.xxhash64("data"), F.lit(groups))).applyInPandas(_merge, "lang string, shard int, data binary")
+        groups //= MERGED
+    counts = cut(counts.groupBy("lang", "shard").applyInPandas(_merge, "lang string, shard int, data binary"))
+    some = counts.groupBy("lang", F.floor(F.col("shard") / 8)).applyInPandas(_sums, "lang string, data binary")
+    found = some.groupBy("lang").applyInPandas(_added, "lang string, data binary").collect()  # a fixed size for each language
     model = {}
-    often = counts.groupBy("lang", F.least("n", F.lit(5)).alias("k")).count().withColumn("order", F.lit(4)).unionByName(triples.groupBy("lang", F.least("n", F.lit(5)).alias("k")).count().withColumn("order", F.lit(3))).toPandas()
-    pairs = triples.groupBy("lang", F.col("gram").bitwiseAND(0xFFFF).alias("gram")).agg(F.count("*").alias("n")).toPandas().sort_values("gram")
-    for lang, own in pairs.groupby("lang"):
-        seen = often[often["lang"] == lang].set_index(["order", "k"])["count"]
-        cuts = [discounts(np.array([seen.get((order, k), 0) for k in (1, 2, 3, 4)])) for order in (4, 3)]
-        model[lang] = (*cuts, pair_table(own["gram"].to_numpy(np.int64), own["n"].to_numpy(np.int64)))
+    for r in found:
+        before, total, *kinds, often = unpack(r["data"])
+        model[r["lang"]] = Words(before, total, np.stack(kinds), often)
     shared = spark.sparkContext.broadcast(model)
 
     def answer(key: tuple, counted: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        lang, shard, _ = key
-        out = {"block": asked["block"].to_numpy(), "lang": [lang] * len(asked), "shard": np.full(len(asked), shard, np.int32)}
+        lang = key[0]
+        out = {"block": asked["block"], "lang": asked["lang"], "sizes": asked["sizes"], "ids": asked["ids"]}
         if lang not in shared.value or not len(asked):
-            return pd.DataFrame(out | {"bits": [b""] * len(asked)})
-        each = [np.frombuffer(g, np.uint32).astype(np.int64) for g in asked["grams"]]
-        wanted, at = np.unique(np.concatenate(each), return_inverse=True)
-        counted = counted.sort_values("gram")
-        p = log_probabilities(counted["gram"].to_numpy(np.int64), counted["n"].to_numpy(np.int64), wanted, *shared.value[lang]).astype(np.float32)[at]
-        return pd.DataFrame(out | {"bits": [x.tobytes() for x in np.split(p, np.cumsum([len(g) for g in each])[:-1])]})
-
-    def score(key: tuple, texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        out = np.full(len(texts), np.nan)
-        unpack = zstandard.ZstdDecompressor().decompress
-        parts = {lang: dict(zip(a["shard"], a["bits"], strict=True)) for lang, a in answers.groupby("lang")}
-        for lang, own in _by_lang(texts["lang"].tolist()).items():
-            if lang not in shared.value:
-                continue
-            data = [unpack(texts["data"].iloc[k]) for k in own]
-            grams, sizes = codes(data)
-            kinds = np.unique(grams)
-            shards, bits = shard_of(kinds), np.empty(len(kinds), np.float32)
-            for s in np.unique(shards):
-                bits[shards == s] = np.frombuffer(parts[lang][s], np.float32)  # raises if a block had changed
-            step, sums, ends = 2_000_000, np.zeros(len(own)), np.cumsum(sizes)
-            for at in range(0, len(grams), step):
-                total = np.concatenate([[0], np.cumsum(bits[np.searchsorted(kinds, grams[at : at + step])], dtype=np.float64)])
-                sums += total[np.clip(ends - at, 0, len(total) - 1)] - total[np.clip(ends - sizes - at, 0, len(total) - 1)]
-            with np.errstate(invalid="ignore", divide="ignore"):
-                out[own] = np.where(sizes > 0, np.exp2(-sums / sizes), np.nan)
-        return pd.DataFrame({"_id": texts["_id"], "lang": texts["lang"], "perplexity": out, "n_bytes": [zstandard.frame_content_size(z) for z in texts["data"]]})
-
-    # the blocks of a partition go to one of ``groups`` copies of each shard, so a task's share does not grow with the input
-    last = rows.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0] or 0
-    groups = last // PARTITIONS_PER_TASK + 1
-    group = F.pmod(F.shiftright("block", 24), F.lit(groups).cast("long"))
-    asked = rows.mapInArrow(_gram_sets, "block long, lang string, shard int, grams binary").withColumn("copy", group)
-    shard = F.expr(f"cast(((shiftright(gram, 8) & 65535) * 2654435761L >> 12) % {SHARDS} as int)")
-    sharded = counts.select("*", shard.alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("copy"))
-    answers = sharded.groupBy("lang", "shard", "copy").cogroup(asked.groupBy("lang", "shard", "copy")).applyInPandas(answer, "block long, lang string, shard int, bits binary")
-    texts = rows.mapInArrow(_packer(), f"block long, _id {kind}, lang string, data binary")
-    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, f"_id {kind}, lang string, perplexity double, n_bytes long").select(F.col("_id").alias(id_col), "lang", F.nanvl("perplexity", F.lit(None)).alias("perplexity"), "n_bytes")
-
-
-def _packer():
-    def run(batches):
-        pack = zstandard.ZstdCompressor(level=3).compress
-
-        def seen():
-            for batch in batches:
-                kinds.append(batch.schema.field(0).type)
-                yield batch
-
-        kinds: list = []
-        for block, ids, langs, texts in _blocks(seen()):
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(ids), pa.int64()), pa.array(ids, kinds[0]), pa.array(langs, pa.string()), pa.array([pack(t) for t in texts], pa.binary())], names=["block", "_id", "lang", "data"])
-
-    return run
+            return pd.DataFrame(out | {"docs": [b""] * len(asked), "bits": [b""] * len(asked)})
+        keys, n = unpack(counted["data"].iloc[0]) if len(counted) else (np.zeros(0, np.uint64),) * 2
+        keys = np.cumsum(keys, dtype=np.uint64)
+        near, sums = [], []
+        for data in asked["data"]:
+            moved, doc, times = unpack(data)
+            bits = shared.value[lang].log_probabilities(np.cumsum(moved, dtype=np.uint64), keys, n) * times
+            total = np.bincount(doc.astype(np.int64), -bits)
+            at = np.flatnonzero(total)
+            near.append(pack(steps(at.astype(np.uint64))))
+            sums.append(total[at].astype(np.float32).tobytes())
+        return pd.DataFrame(out | {"docs": near, "bits": sums})
+
+    def score(frame: pd.DataFrame) -> pd.DataFrame:
+        first = frame[frame["sizes"].notna()].iloc[0]
+        sizes = unpack(first["sizes"])[0].astype(np.float64)
+        bits = np.zeros(len(sizes))
+        for near, own in zip(frame["docs"], frame["bits"], strict=True):
+            if near:
+                bits[np.cumsum(unpack(near)[0], dtype=np.uint64).astype(np.int64)] += np.frombuffer(own, np.float32)
+        known = first["lang"] in shared.value
+        with np.errstate(invalid="ignore", divide="ignore"):
+            value = np.where((sizes > 0) & known, np.exp2(np.minimum(bits / sizes, 1000)), np.nan)
+        return pd.DataFrame({"_id": pd.Series(list(first["ids"]), dtype=object), "lang": first["lang"], "perplexity": value, "n_words": sizes.astype(np.int64)})
+
+    copy = F.pmod(F.xxhash64("block"), F.lit(copies))
+    asked = rows.mapInArrow(_requests, f"block long, lang string, shard int, data binary, sizes binary, ids array<{kind}>").withColumn("copy", copy)
+    sharded = counts.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))).alias("copy"))
+    answers = sharded.groupBy("lang", "shard", "copy").cogroup(asked.groupBy("lang", "shard", "copy")).applyInPandas(answer, f"block long, lang string, sizes binary, ids array<{kind}>, docs binary, bits binary")
+    scored = answers.groupBy("block").applyInPandas(score, f"_id {kind}, lang string, perplexity double, n_words long")
+    return scored.select(F.col("_id").alias(id_col), "lang", F.nanvl("perplexity", F.lit(None)).alias("perplexity"), "n_words")
 
 
 def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.99) -> DataFrame:
     """(id, lang, perplexity, threshold, kept) of every row.
 
     A fifth of the trusted documents, by a hash of the id, trains no model: the threshold of a
-    language is the given quantile of their perplexities. Documents above it, and those without text, are not kept. Languages without trusted text have
-    a null threshold, and their documents are kept: there is no evidence against them.
+    language is the given quantile of their perplexities. Documents above it, and those without
+    words, are not kept; a tie with the threshold is. Languages without trusted text have a null
+    threshold, and their documents are kept: there is no evidence against them. Otherwise as
+    :func:`perplexities`, for null, empty, long and repeated rows, empty input and other columns.
     """
     spared = F.pmod(F.xxhash64(F.lit("calibration"), id_col), F.lit(5)) == 0
     scored = cut(perplexities(docs, trusted.filter(~spared), id_col, text_col, lang_col))
     known = trusted.select(id_col).filter(spared & F.col(id_col).isNotNull()).distinct()
     limits = scored.join(known, id_col, "left_semi").groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"))
-    return scored.join(limits, "lang", "left").select(id_col, F.when(F.col("lang") != "", F.col("lang")).alias("lang"), "perplexity", "threshold", ((F.col("n_bytes") > 0) & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))).alias("kept"))
+    return scored.join(limits, "lang", "left").select(id_col, F.when(F.col("lang") != "", F.col("lang")).alias("lang"), "perplexity", "threshold", ((F.col("n_words") > 0) & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))).alias("kept"))

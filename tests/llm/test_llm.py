@@ -496,55 +496,89 @@ def test_toxicity_of_tables(spark, odd, empty):
     assert toxicity.toxicity(empty, toxicity.train(empty, labels)).count() == 0
 
 
-def slow_kneser_ney(counts, gram, discounts):
-    """p of the last byte, by the definition, from counts of 4-byte grams."""
-    def level(g, table, below, cuts):
-        rows = [(k, n) for k, n in table.items() if k[:-1] == g[:-1]]
-        total = sum(n for _, n in rows)
-        if not total:
-            return below
-        cut = lambda n: cuts[min(n, 3) - 1]
-        own = max(table.get(g, 0) - cut(table[g]), 0) if g in table else 0
-        return own / total + sum(min(cut(n), n) for _, n in rows) / total * below
-
-    def continued(table):
-        out = {}
-        for k in table:
-            out[k[1:]] = out.get(k[1:], 0) + 1
-        return out
-
-    tables = [counts]
-    for _ in range(3):
-        tables.append(continued(tables[-1]))
-    p = 1 / 256
-    for order in (3, 2, 1, 0):
-        p = level(gram[order:], tables[order], p, discounts[order])
+def slow_words(text):
+    import xxhash
+
+    return [0] + [xxhash.xxh64_intdigest(w.encode()) % (2**18 - 1) + 1 for w in re.findall(r"[\u3040-\u30ff\u3400-\u9fff]|[^\W_\u3040-\u30ff\u3400-\u9fff]+|[^\w\s]|_", text.lower())]
+
+
+def slow_model(texts):
+    """p(b after a) by the definition, from dictionaries."""
+    pairs = {}
+    for ids in map(slow_words, texts):
+        for g in zip(ids, ids[1:]):
+            pairs[g] = pairs.get(g, 0) + 1
+    before = {}
+    for _, b in pairs:
+        before[b] = before.get(b, 0) + 1
+
+    def cuts(counts):
+        n = [sum(c == k for c in counts) for k in (1, 2, 3, 4)]
+        if min(n) == 0:
+            return {1: 0.5, 2: 1.0, 3: 1.5}
+        y = n[0] / (n[0] + 2 * n[1])
+        return {k: min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05 * k), 0.95 * k) for k in (1, 2, 3)}
+
+    high, low = cuts(pairs.values()), cuts(before.values())
+    after = {}
+    for (a, _), n in pairs.items():
+        after.setdefault(a, []).append(n)
+    left = sum(min(low[min(n, 3)], n) for n in before.values()) / sum(before.values())
+
+    def p(a, b):
+        n = before.get(b, 0)
+        one = (max(n - low[min(n, 3)], 0) if n else 0) / sum(before.values()) + left / 2**18
+        if a not in after:
+            return one
+        c, total = pairs.get((a, b), 0), sum(after[a])
+        return (max(c - high[min(c, 3)], 0) if c else 0) / total + sum(min(high[min(n, 3)], n) for n in after[a]) / total * one
+
     return p
 
 
-def test_kneser_ney_matches_the_definition():
+@pytest.mark.parametrize("task_bytes", [256_000_000, 100])
+def test_quality_matches_the_definition(monkeypatch, spark, task_bytes):
+    monkeypatch.setattr(kneser_ney, "TASK_BYTES", task_bytes)  # small: several copies of a shard and rounds of merging
     random.seed(6)
-    texts = [bytes(random.choices(b"abcd ", k=120)) for _ in range(10)]
-    grams, n = np.unique(codes(texts)[0], return_counts=True)
-    counts = {int(g).to_bytes(4, "big"): int(c) for g, c in zip(grams, n, strict=True)}
-    triples, t = np.unique(grams.astype(np.int64) & 0xFFFFFF, return_counts=True)
-    pairs, p = np.unique(triples & 0xFFFF, return_counts=True)
-    ones, o = np.unique(pairs & 0xFF, return_counts=True)
-    cuts = [kneser_ney.discounts(kneser_ney.count_of_counts(x)) for x in (n, t, p, o)]
-    asked = np.array([int.from_bytes(b, "big") for b in (b"abcd", b"zzzz", b"ab c", b"a\xffbd", *list(counts)[:20])], np.int64)
-    got = np.exp2(kneser_ney.log_probabilities(grams.astype(np.int64), n, asked, cuts[0], cuts[1], kneser_ney.pair_table(pairs, p)))
-    want = [slow_kneser_ney(counts, int(g).to_bytes(4, "big"), cuts) for g in asked]
-    assert np.allclose(got, want, rtol=1e-9)
+    word = lambda: random.choice(["sun", "moon", "sea", "the", "a", "of", "red.", "Blue", "漢字"])
+    rows = [(i, " ".join(word() for _ in range(random.randrange(0, 60))) + (" zzz qqq" if i % 7 == 0 else ""), random.choice(["en", "de", None]), "s", 1) for i in range(150)]
+    rows += [(200, None, "en", "s", 1), (201, "", "en", "s", 1), (202, "the sun", "fr", "s", 1), (3, rows[3][1], rows[3][2], "s", 1), (None, "the sea", "en", "s", 1), (203, "of the sun " * 3000, "de", "s", 1)]
+    docs = spark.createDataFrame(rows, DOC).repartition(3)
+    trusted = spark.createDataFrame([(i,) for i in [*range(0, 150, 2), None, 999]], "doc_id long")
+    spared = {r["doc_id"] for r in trusted.filter(F.pmod(F.xxhash64(F.lit("calibration"), "doc_id"), F.lit(5)) == 0).collect()}
+    got = kneser_ney.quality(docs, trusted).collect()
+    assert len(got) == len(rows)
+    want = {}
+    for lang in ("en", "de", None):
+        p = slow_model([t for i, t, own, *_ in rows if own == lang and i is not None and i < 150 and i % 2 == 0 and i not in spared])
+        for i, t, own, *_ in rows:
+            if own == lang and (ids := slow_words(t or ""))[1:]:
+                want[i] = 2 ** (-sum(math.log2(p(a, b)) for a, b in zip(ids, ids[1:])) / (len(ids) - 1))
+        limit = sorted(want[i] for i, t, own, *_ in rows if own == lang and i in spared and i in want)
+        limit = limit[math.ceil(0.99 * len(limit)) - 1]
+        for r in got:
+            if r["lang"] == lang:
+                assert r["threshold"] == pytest.approx(limit, rel=1e-5)
+                assert r["kept"] == (r["doc_id"] in want and r["perplexity"] <= r["threshold"])
+    assert {r["doc_id"]: r["perplexity"] for r in got if r["perplexity"] is not None} == pytest.approx(want, rel=1e-5)
+    assert [tuple(r) for r in got if r["lang"] == "fr"] == [(202, "fr", None, None, True)]
 
 
 def test_probabilities_sum_to_one():
-    grams, n = np.unique(codes([b"the cat sat on the mat and the hat " * 5])[0], return_counts=True)
-    triples, t = np.unique(grams.astype(np.int64) & 0xFFFFFF, return_counts=True)
-    pairs, p = np.unique(triples & 0xFFFF, return_counts=True)
-    cuts = [kneser_ney.discounts(kneser_ney.count_of_counts(x)) for x in (n, t)]
-    context = int.from_bytes(b"the", "big") << 8
-    total = np.exp2(kneser_ney.log_probabilities(grams.astype(np.int64), n, context + np.arange(256), *cuts, kneser_ney.pair_table(pairs, p))).sum()
-    assert total == pytest.approx(1)
+    keys, n = np.unique(kneser_ney.bigrams("the cat sat on the mat and the hat " * 5), return_counts=True)
+    context, word = (keys >> np.uint64(18)).astype(int), (keys & np.uint64(2**18 - 1)).astype(int)
+    count = lambda x, w=None: np.bincount(x, w, 2**18)
+    m = kneser_ney.Words(count(word), count(context, n), np.stack([count(context[n == 1]), count(context[n == 2]), count(context[n >= 3])]), kneser_ney.count_of_counts(n))
+    for of in ("the", "unseen"):
+        first = kneser_ney.word_ids(of)[0] << np.uint64(18)
+        assert np.exp2(m.log_probabilities(first + np.arange(2**18, dtype=np.uint64), keys, n)).sum() == pytest.approx(1)
+
+
+def test_packed_numbers_return():
+    random = np.random.default_rng(8)
+    arrays = [random.integers(0, 2**k, size, dtype=np.uint64) for k, size in ((60, 1000), (1, 7), (16, 0), (33, 1))]
+    assert all((a == b).all() for a, b in zip(arrays, kneser_ney.unpack(kneser_ney.pack(*arrays)), strict=True))
+    assert kneser_ney.unpack(kneser_ney.pack()) == []
 
 
 def test_perplexities_of_tables(monkeypatch, docs, odd, empty, spark):
@@ -553,10 +587,11 @@ def test_perplexities_of_tables(monkeypatch, docs, odd, empty, spark):
     whole = {r["doc_id"]: r["perplexity"] for r in kneser_ney.perplexities(docs, trusted).collect()}
     assert len(whole) == docs.count()
     monkeypatch.setattr(kneser_ney, "BROADCAST_IDS", 0)  # the other join gives the same
-    assert {r["doc_id"]: r["perplexity"] for r in kneser_ney.perplexities(docs, trusted).collect()} == pytest.approx(whole)
+    monkeypatch.setattr(kneser_ney, "BLOCK_DOCS", 3)  # and so do other blocks
+    assert {r["doc_id"]: r["perplexity"] for r in kneser_ney.perplexities(docs, trusted).collect()} == pytest.approx(whole, rel=1e-5)
     got = kneser_ney.quality(clashing(odd), odd.filter("doc_id = 5").select("doc_id")).toPandas()
     assert len(got) == len(ODD)
-    assert not got[got["doc_id"].isin([1, 2])]["kept"].any()
+    assert not got[got["doc_id"].isin([1, 2, 4])]["kept"].any()
     assert kneser_ney.quality(empty, trusted).count() == 0
 
 
