@@ -4,6 +4,12 @@ score = sigmoid(w0 + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j), with x_i = 1 f
 hashed term of the text: a pair such as an insult with the mention of a group has a weight of its
 own, which an additive model lacks. The model is fitted on a bounded sample of labelled rows; its
 size is fixed by ``BUCKETS`` and ``FACTORS``.
+
+Most terms tell nothing, alone or in pairs, and their noise would drown the pairs. So terms are
+screened first, by tests that do not depend on how common they are: a term takes part if it tells
+the labels apart, or if it does so among the documents that hold one of the most telling terms
+(a mention that is neutral alone, next to an insult). Weights and factors then start at zero and
+at small random numbers and are fitted together, the weights a few rounds ahead.
 """
 
 from __future__ import annotations
@@ -14,14 +20,19 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from modweave.runtime import cut
+
 #: About so many labelled rows are used for training, picked by a hash of their id.
 SAMPLE_ROWS = 16_000
 BUCKETS = 1 << 18
 FACTORS = 6
-EPOCHS = 12
-#: Terms have a weight and factors if they are in so many sampled documents, as any may matter in a
-#: pair; the weight starts at the log odds if they tell the labels apart by so many standard errors.
-LEAST_DOCUMENTS, TELLING = 4, 4.0
+#: Rounds over the sample; in the first of them only weights move.
+EPOCHS, AHEAD = 30, 5
+#: Terms take part if they are in so many sampled documents and tell the labels apart by so many
+#: standard errors, or do so by ``PAIRED`` among the documents of one of the ``ANCHORS`` most telling terms.
+LEAST_DOCUMENTS, TELLING, PAIRED, ANCHORS = 4, 4.5, 6.0, 200
+#: The sample is thinned, by the same hash, to about so many terms if its texts are very long.
+SAMPLE_TERMS = 64_000_000
 _STRIP = b".,;:!?\"'()[]{}<>#$%&*|-_"
 
 
@@ -44,6 +55,30 @@ def terms(text: bytes) -> np.ndarray:
     return np.unique(np.fromiter(map(_terms.__getitem__, words), np.int32, len(words)))
 
 
+def screened(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Whether each bucket takes part."""
+    at, size = np.concatenate([*docs, np.zeros(0, np.int32)]), np.array([len(d) for d in docs], np.int64)
+    seen, hits = np.bincount(at, minlength=BUCKETS), np.bincount(at, np.repeat(y, size), BUCKETS)
+    p = min(max(float(np.mean(y)), 1e-4), 1 - 1e-4)
+    z = np.abs(hits - p * seen) / np.sqrt(p * (1 - p) * np.maximum(seen, 1))
+    known = seen >= LEAST_DOCUMENTS
+    active = known & (z >= TELLING)
+    order = np.argsort(at, kind="stable")
+    holders, ends = np.repeat(np.arange(len(docs)), size)[order], np.cumsum(seen)
+    anchors = np.flatnonzero(known & (2 * seen <= len(docs)))
+    for a in anchors[np.argsort(-z[anchors], kind="stable")[:ANCHORS]]:
+        own = holders[ends[a] - seen[a] : ends[a]]
+        q = min(max(hits[a] / seen[a], 0.02), 0.98)
+        beside = np.concatenate([docs[d] for d in own])
+        n, s = np.bincount(beside, minlength=BUCKETS), np.bincount(beside, np.repeat(y[own] - q, size[own]), BUCKETS)
+        paired = (n >= LEAST_DOCUMENTS) & (np.abs(s) >= PAIRED * np.sqrt(q * (1 - q) * n))
+        paired[a] = False
+        if paired.any():
+            active |= paired
+            active[a] = True
+    return active
+
+
 class Machine:
     """Weights ``w0``, ``w`` and factors ``v`` (a column for each factor)."""
 
@@ -58,41 +93,37 @@ class Machine:
         squares = np.add.reduceat(v * v, starts, axis=0)
         return self.w0 + np.add.reduceat(self.w[at], starts) + 0.5 * (sums * sums - squares).sum(1), sums
 
-    def fit(self, docs: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, batch: int = 128, rate: float = 0.1, shrink: float = 1e-3) -> Machine:
-        """Adagrad over minibatches, in an order fixed by a seed; weights start at the terms' log odds, and shrink towards them."""
+    def fit(self, docs: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, batch: int = 128, rate: float = 0.5, slow: float = 0.1, shrink: tuple[float, float] = (1e-5, 1e-3), start: float = 0.05) -> Machine:
+        """Adagrad over minibatches, in an order fixed by a seed; weights and factors shrink to zero."""
         random = np.random.default_rng(7)
-        count = lambda own: np.bincount(np.concatenate([*own, np.zeros(0, np.int32)]), minlength=BUCKETS).astype(np.float64)
-        seen, toxic = count(docs), count([d for d, label in zip(docs, y, strict=True) if label])
+        y = np.asarray(y, np.float64)
+        keep = screened(docs, y)
         p = min(max(float(np.mean(y)), 1e-4), 1 - 1e-4)
-        z = (toxic - p * seen) / np.sqrt(p * (1 - p) * np.maximum(seen, 1))
-        telling = np.abs(z) >= TELLING
-        keep = seen >= LEAST_DOCUMENTS
-        start = np.append(np.where(keep & telling, np.log((toxic + 0.5 * p) / (seen - toxic + 0.5 * (1 - p))) - np.log(p / (1 - p)), 0), 0).astype(np.float32)
         self.w0 = float(np.log(p / (1 - p)))
         docs = [np.concatenate([d[keep[d]], [BUCKETS]]).astype(np.int64) for d in docs]  # the last bucket is a sentinel without weight
-        w, v = start.copy(), np.zeros((BUCKETS + 1, FACTORS), np.float32)
-        v[:-1][keep] = random.normal(0, 0.01, (int(keep.sum()), FACTORS))
+        w, v = np.zeros(BUCKETS + 1, np.float32), np.zeros((BUCKETS + 1, FACTORS), np.float32)
+        v[:-1][keep] = random.normal(0, start, (int(keep.sum()), FACTORS))
         gw, gv, g0 = np.full(BUCKETS + 1, 1e-3, np.float32), np.full((BUCKETS + 1, FACTORS), 1e-2, np.float32), 1e-3
-        for _ in range(epochs):
+        self.w, self.v = w, v
+        for epoch in range(epochs):
             order = random.permutation(len(docs))
             for k in range(0, len(order), batch):
                 own = order[k : k + batch]
                 at = np.concatenate([docs[i] for i in own])
                 size = np.array([len(docs[i]) for i in own])
-                starts = np.cumsum(size) - size
-                self.w, self.v = w, v
-                z, sums = self.raw(at, starts)
+                z, sums = self.raw(at, np.cumsum(size) - size)
                 error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[own]).astype(np.float32)
                 each = np.repeat(error, size)
                 x, inverse, held = np.unique(at, return_inverse=True, return_counts=True)
-                dw = np.bincount(inverse, each) / len(own) + shrink * (w[x] - start[x])
-                grad = each[:, None] * (np.repeat(sums, size, axis=0) - v[at])
-                # over the documents that hold the term: over the batch, factors of rare terms would never leave zero
-                dv = np.stack([np.bincount(inverse, grad[:, f]) for f in range(FACTORS)], 1) / held[:, None] + shrink * v[x]
+                dw = np.bincount(inverse, each) / len(own) + shrink[0] * w[x]
                 gw[x] += dw**2
-                gv[x] += dv**2
                 w[x] -= (rate * dw / np.sqrt(gw[x])).astype(np.float32)
-                v[x] -= (0.3 * rate * dv / np.sqrt(gv[x])).astype(np.float32)
+                if epoch >= AHEAD:
+                    grad = each[:, None] * (np.repeat(sums, size, axis=0) - v[at])
+                    # over the documents that hold the term: over the batch, factors of rare terms would never leave zero
+                    dv = np.stack([np.bincount(inverse, grad[:, f]) for f in range(FACTORS)], 1) / held[:, None] + shrink[1] * v[x]
+                    gv[x] += dv**2
+                    v[x] -= (slow * rate * dv / np.sqrt(gv[x])).astype(np.float32)
                 w[-1], v[-1] = 0, 0
                 d0 = float(error.mean())
                 g0 += d0 * d0
@@ -118,10 +149,12 @@ class Machine:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE_ROWS) -> Machine:
     """Fit on about ``sample`` rows that have a label of 0 or 1.
 
-    A null text counts as empty; ids with several labels take the highest; labels without a
-    document are not used. Without any labelled row all scores are the prior's.
+    A null text counts as empty, and a long one has each of its terms once; ids with several labels
+    take the highest; labels without a document, and null ids, are not used; documents that repeat
+    an id are all used. Without any labelled row, as in empty tables, all scores are the prior's.
+    Other columns, whatever their names, are not read.
     """
-    known = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("y")).filter("_id IS NOT NULL")
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("y")).filter("y IN (0, 1) AND _id IS NOT NULL").groupBy("_id").agg(F.max("y").cast("int").alias("y"))
     share = min(1 << 20, (sample << 20) // max(1, known.count()))
     picked = F.broadcast(known.filter(F.pmod(F.xxhash64(F.lit("toxicity"), "_id"), F.lit(1 << 20)) < share))  # about ``sample`` rows
     text = F.coalesce(F.lower(F.col(text_col)), F.lit("")).cast("binary")
@@ -130,7 +163,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for frame in batches:
             yield pd.DataFrame({"y": frame["y"], "terms": [terms(t).tobytes() for t in frame["data"]], "key": frame["key"]})
 
-    rows = docs.join(picked, docs[id_col] == picked["_id"]).select("y", text.alias("data"), F.xxhash64("_id", text_col).alias("key")).mapInPandas(hashed, "y int, terms binary, key long").toPandas().sort_values(["key", "y"], kind="stable")
+    read = docs.select(F.col(id_col).alias("_id"), text.alias("data"), F.xxhash64(id_col, text_col).alias("key"))
+    found = cut(read.join(picked, "_id").select("y", "data", "key").mapInPandas(hashed, "y int, terms binary, key long"))
+    many = (found.agg(F.sum(F.octet_length("terms").cast("long"))).first()[0] or 0) // 4
+    if many > SAMPLE_TERMS:
+        found = found.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < (SAMPLE_TERMS << 20) // many)
+    rows = found.toPandas().sort_values(["key", "y"], kind="stable")
     machine = Machine()
     return machine.fit([np.frombuffer(t, np.int32) for t in rows["terms"]], rows["y"].to_numpy()) if len(rows) else machine
 
@@ -138,14 +176,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def toxicity(docs: DataFrame, machine: Machine, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 at ``threshold`` or more).
 
-    Only the text is read; a null text scores as an empty one. Columns of these names are replaced.
+    Only the text is read; a null text scores as an empty one, repeated rows get the same, and a long
+    text has each of its terms once. Columns of these two names are replaced, all others are kept.
+    Empty input gives no rows.
     """
-    docs = docs.drop("score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(shared.value.score(texts.tolist()))
 
     udf = F.pandas_udf(score, "double")
-    scored = docs.withColumn("score", udf(F.coalesce(F.lower(F.col(text_col)), F.lit("")).cast("binary")))
+    value = udf(F.coalesce(F.lower(F.col(text_col)), F.lit("")).cast("binary"))
+    scored = docs.select(*(docs[c] for c in docs.columns if c not in ("score", "predicted")), value.alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

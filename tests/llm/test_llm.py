@@ -482,6 +482,29 @@ def test_factor_machine_learns_pairs_with_rare_neutral_terms():
     assert both - insult - group + none > 0.4
 
 
+def test_pairs_matter_in_real_texts():
+    """Two neutral terms planted in real texts, toxic only together: the machine beats its own additive part."""
+    import duckdb
+
+    rows = duckdb.sql("SELECT lower(text) AS text FROM '/root/testdata/sf0.1/documents.parquet' d JOIN '/root/testdata/sf0.1/labels.parquet' l USING (doc_id) WHERE toxic = 0 AND text IS NOT NULL ORDER BY doc_id").fetchall()
+    random.seed(9)
+    texts, y = [], []
+    for (text,) in rows * 2:
+        a, b = random.random() < 0.25, random.random() < 0.25
+        texts.append(f"{text} {'plantedone' * a} {'plantedtwo' * b}".encode())
+        y.append(int(a and b))
+    y, third = np.array(y), len(texts) // 3
+    m = toxicity.Machine().fit([toxicity.terms(t) for t in texts[third:]], y[third:])
+    whole, want = m.score(texts[:third]), y[:third]
+    m.v[:] = 0
+    additive = m.score(texts[:third])
+    loss = lambda s: -np.log(np.maximum(np.where(want, s, 1 - s), 1e-9)).mean()
+    assert loss(whole) < 0.5 * loss(additive)
+    assert (whole[want == 1] >= 0.7).mean() > 0.98
+    assert (whole[want == 0] >= 0.7).mean() < 0.01
+    assert (additive[want == 1] >= 0.7).mean() < 0.5
+
+
 def test_toxicity_of_tables(spark, odd, empty):
     from modweave.llm.folds import held_out
 
@@ -490,6 +513,9 @@ def test_toxicity_of_tables(spark, odd, empty):
     got = toxicity.toxicity(docs.select("doc_id", "text"), machine).join(labels, "doc_id").filter(held_out()).toPandas()
     assert got[got["toxic"] == 1]["predicted"].mean() > 0.8
     assert got[got["toxic"] == 0]["predicted"].mean() < 0.01
+    machine.v[:] = 0  # the pairs are part of the query's scores
+    additive = toxicity.toxicity(docs.select("doc_id", "text"), machine).join(labels, "doc_id").filter(held_out()).toPandas()
+    assert additive[additive["toxic"] == 1]["predicted"].mean() < got[got["toxic"] == 1]["predicted"].mean()
     few = toxicity.toxicity(clashing(odd), machine).toPandas()
     assert len(few) == len(ODD)
     assert few["score"].between(0, 1).all()
