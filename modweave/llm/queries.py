@@ -110,8 +110,8 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS tex
 {_kind_sql('owned', '[A-Za-z0-9+/_-]{20,}', 'm', "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')")},
 base AS (SELECT * FROM assign UNION ALL SELECT * FROM access UNION ALL SELECT * FROM hex),
 spans AS (SELECT * FROM base UNION ALL SELECT * FROM owned o WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = o.rid AND b.start < o.stop AND o.start < b.stop)),
-owners AS (SELECT v, count(DISTINCT owner) AS n FROM spans JOIN d USING (rid) GROUP BY 1),
-judged AS (SELECT s.*, n >= {secrets.COPIED_OWNERS} AS copied, s.kind || ':' || s.start || ':' || s.stop AS shown FROM spans s JOIN owners USING (v) WHERE s.kind <> 'owned' OR n < {secrets.COPIED_OWNERS}),
+owners AS (SELECT v, count(DISTINCT owner) >= {secrets.COPIED_OWNERS} OR count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), '')) >= {secrets.COPIED_REPOS} AS copied FROM spans JOIN d USING (rid) GROUP BY 1),
+judged AS (SELECT s.*, copied, s.kind || ':' || s.start || ':' || s.stop AS shown FROM spans s JOIN owners USING (v) WHERE s.kind <> 'owned' OR NOT copied),
 per AS (SELECT rid, string_agg(shown, ',' ORDER BY start, k) AS spans, string_agg(shown, ',' ORDER BY start, k) FILTER (kind <> 'owned') AS base,
   count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS c, count(*) FILTER (kind = 'hex') AS h, count(*) FILTER (copied) AS n_copied, count(*) FILTER (NOT copied) AS n_live FROM judged GROUP BY 1)
 SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_copied, 0) AS n_copied, coalesce(n_live, 0) AS n_live
