@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from modweave.llm import kneser_ney, langid, mixing, packing, quality_rules, secrets, simhash, substring_dedup, topk, toxicity
 from modweave.llm.bytegrams import codes
-from modweave.llm.queries import QUERIES, tokenizer_path
+from modweave.llm.queries import QUERIES, domains, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -323,6 +323,92 @@ def test_mixing_classifies_and_samples(spark):
     assert again.count() == got["copies"].sum()
 
 
+def slow_evidence(text):
+    """Tokens, and the buckets of the distinct words and classes of statistics of a text."""
+    import xxhash
+
+    words = [w for w in re.split(mixing.BREAKS, (text or "").lower()) if w]
+    n = max(1, len(words))
+    share = {"signs": len(re.findall(mixing.SIGNS, text or "")) / n, "bangs": (text or "").count("!") / n, "capitals": len(re.findall("[A-Z]", text or "")) / n, "fresh": len(set(words)) / n, "words": len(words)}
+    every = {*words, *(f" {k} {sum(x > c for c in mixing.CLASSES[k])}" for k, x in share.items())} if words else set()
+    return len(words), [xxhash.xxh64_intdigest(w.encode(), 42) % mixing.BUCKETS for w in every]
+
+
+def test_mixing_matches_brute_force(docs, rows, spark):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    known = {r["doc_id"]: r["domain"] for r in domains(labels).filter("domain IS NOT NULL").collect()}
+    c = mixing.train(docs, domains(labels))
+    texts = dict(zip(rows["doc_id"], rows["text"], strict=True))
+    seen, sizes = {}, {}
+    for i, d in known.items():
+        if i in texts:
+            sizes[d] = sizes.get(d, 0) + 1
+            for w in set(slow_evidence(texts[i])[1]):
+                seen.setdefault(w, {})[d] = seen.get(w, {}).get(d, 0) + 1
+    assert c.domains == sorted(sizes)
+
+    def lean(w, d):
+        x = math.log((seen[w].get(d, 0) + mixing.PRIOR) / (sizes[d] * sum(seen[w].values()) / sum(sizes.values()) + mixing.PRIOR))
+        return math.copysign(max(0, abs(x) - math.log(mixing.LIFT)), x)
+
+    plain = mixing.mix(docs, c, {}).toPandas()  # no targets: rates of 1
+    part = np.stack(plain["q"]) * (plain["tokens"] * np.where(plain["doc_id"] % 2, 1.0, 0.7)).to_numpy()[:, None]
+    targets = dict(zip(c.domains, part.sum(0) / part.sum() * [0.99, 1.02, 1.02], strict=True))  # near what some rates reach
+    mixed = mixing.mix(docs, c, targets).cache()
+    got, sums = {r["doc_id"]: r for r in mixed.collect()}, dict.fromkeys(c.domains, 0.0)
+    for i, text in texts.items():
+        tokens, words = slow_evidence(text)
+        z = [b + c.weight * sum(lean(w, d) for w in words if w in seen) for d, b in zip(c.domains, c.base, strict=True)]
+        q = [math.exp(x - max(z)) for x in z]
+        assert got[i]["tokens"] == tokens
+        assert got[i]["q"] == pytest.approx([x / sum(q) for x in q], abs=1e-6)
+        assert got[i]["rate"] >= 0
+        assert got[i]["copies"] in (math.floor(got[i]["rate"]), math.floor(got[i]["rate"]) + 1)
+        for d, x in zip(c.domains, got[i]["q"], strict=True):
+            sums[d] += got[i]["rate"] * tokens * x
+    told = {r["domain"]: r for r in mixing.totals(mixed, c, targets).collect()}
+    for d in c.domains:
+        assert told[d]["wanted"] == pytest.approx(targets[d] / sum(targets.values()))
+        assert told[d]["reached"] == pytest.approx(sums[d] / sum(sums.values()))
+        assert told[d]["reached"] == pytest.approx(told[d]["wanted"], abs=0.01)
+    assert sum(sums.values()) == pytest.approx(sum(r["tokens"] for r in got.values()), rel=0.01)
+
+
+def test_posteriors_are_calibrated(spark):
+    random.seed(3)
+    text = lambda bad: " ".join(random.choice(["aa", "bb", "cc", *(["zz"] if bad and random.random() < 0.5 else [])]) for _ in range(12))
+    rows = [(i, text(i % 4 == 0), "en", "s", 1) for i in range(800)]
+    docs = spark.createDataFrame(rows, DOC)
+    c = mixing.train(docs, spark.createDataFrame([(i, "bad" if i % 4 == 0 else "good") for i in range(800)], "doc_id long, domain string"))
+    got = mixing.mix(docs, c, {"good": 1.0}).toPandas().sort_values("doc_id")
+    q, bad = np.stack(got["q"])[:, 0], (got["doc_id"] % 4 == 0).to_numpy()
+    assert q.mean() == pytest.approx(0.25, abs=0.03)
+    plain = q < 0.5
+    assert q[plain].mean() == pytest.approx(bad[plain].mean(), abs=0.05)
+    assert bad[~plain].mean() > 0.95
+
+
+def test_unsettled_rates_are_told(spark):
+    df = spark.createDataFrame([([0.9, 0.1], 500.0), ([0.2, 0.8], 300.0)], "q array<double>, tokens double")
+    with pytest.warns(UserWarning, match="not settled"):
+        mixing.fit_rates(df, [100.0, 700.0], steps=1)
+
+
+@pytest.mark.parametrize("broadcast", [0, 1000])
+def test_resampling_by_either_join(monkeypatch, spark, broadcast):
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", broadcast)
+    rows = [(i, ("good plain words here and there " * 3) if i % 3 else "bad bad ### bad $$$ thing ### bad", "en", "s", 1) for i in range(90)] + [(5, "good plain words here and there " * 3, "en", "s", 1), (None, None, "en", "s", 1)]
+    docs = clashing(spark.createDataFrame(rows, DOC))
+    c = mixing.train(docs, spark.createDataFrame([(i, "good" if i % 3 else "bad") for i in range(60)], "doc_id long, domain string"))
+    want = {}
+    for r in mixing.mix(docs, c, {"good": 0.9, "bad": 0.1}, total=5000.0).collect():
+        want[r["doc_id"]] = want.get(r["doc_id"], 0) + r["copies"]
+    again = mixing.resample(docs, c, {"good": 0.9, "bad": 0.1}, total=5000.0)
+    assert again.columns == docs.columns
+    assert {r["doc_id"]: r["count"] for r in again.groupBy("doc_id").count().collect()} == {k: n for k, n in want.items() if n}
+    assert max(want.values()) > 3
+
+
 def test_mixing_of_odd_rows(odd, empty, spark):
     none = mixing.train(odd, spark.createDataFrame([], "doc_id long, domain string"))
     assert none.domains == []
