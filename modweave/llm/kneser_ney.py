@@ -30,14 +30,16 @@ from modweave.runtime import cut
 WORD_BITS = 18
 WORDS = 1 << WORD_BITS
 BLOCK_BYTES, BLOCK_DOCS = 16_000_000, 1 << 16
-SHARDS = 64
+#: A bigram's shard is the exclusive or of the low bits of its words, so hot words are spread over all shards.
+SHARD_BITS = 6
+SHARDS = 1 << SHARD_BITS
 #: Bytes of text whose bigrams meet in one task, and arrays of counts that a task merges.
 TASK_BYTES, MERGED = 256_000_000, 32
 #: Trusted ids are broadcast up to this many rows, and joined by a shuffle beyond; the result is the same.
 BROADCAST_IDS = 500_000
-_MASK = np.uint64(WORDS - 1)
-#: Letters of scripts without spaces are words of their own, and so are signs.
-_TOKEN = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+|[^\w\s]|_")
+_INNER = np.uint64(2 * WORD_BITS - SHARD_BITS)
+#: Letters of scripts without spaces are words of their own, and so are runs of signs.
+_TOKEN = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+|[^\w\s]+|_")
 
 
 class _Ids(dict):
@@ -59,15 +61,28 @@ def word_ids(text: str) -> np.ndarray:
     return np.fromiter(map(_ids.__getitem__, words), np.uint64, len(words))
 
 
+def joined(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Keys of bigrams: the shard, then the first word, then what the shard does not tell of the second."""
+    low = np.uint64(SHARDS - 1)
+    return ((before ^ words) & low) << _INNER | before << np.uint64(WORD_BITS - SHARD_BITS) | words >> np.uint64(SHARD_BITS)
+
+
+def taken_apart(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and second words of keys."""
+    before = keys >> np.uint64(WORD_BITS - SHARD_BITS) & np.uint64(WORDS - 1)
+    high = keys & np.uint64((1 << WORD_BITS - SHARD_BITS) - 1)
+    return before.astype(np.int64), (high << np.uint64(SHARD_BITS) | (keys >> _INNER ^ before) & np.uint64(SHARDS - 1)).astype(np.int64)
+
+
 def bigrams(text: str) -> np.ndarray:
-    """The bigram of every word (the word before it in the high bits)."""
+    """The key of the bigram of every word with the one before it."""
     ids = word_ids(text)
-    before = np.concatenate([np.zeros(1, np.uint64), ids[:-1]]) if len(ids) else ids
-    return before << np.uint64(WORD_BITS) | ids
+    return joined(np.concatenate([np.zeros(1, np.uint64), ids[:-1]]), ids) if len(ids) else ids
 
 
-def shard_of(keys: np.ndarray) -> np.ndarray:
-    return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (SHARDS - 1).bit_length())
+def shard_ends(keys: np.ndarray) -> np.ndarray:
+    """Where each shard begins in sorted keys, and the end."""
+    return np.searchsorted(keys >> _INNER, np.arange(SHARDS + 1, dtype=np.uint64))
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -96,6 +111,19 @@ def steps(keys: np.ndarray) -> np.ndarray:
     return np.diff(keys, prepend=np.uint64(0))
 
 
+def docs_of(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Documents of sorted (key, document) as their steps within a key, or back (:func:`whole_docs`)."""
+    same = np.concatenate([[False], keys[1:] == keys[:-1]])
+    return np.where(same, docs - np.concatenate([[np.uint64(0)], docs[:-1]]), docs)
+
+
+def whole_docs(moved: np.ndarray, stepped: np.ndarray) -> np.ndarray:
+    """Documents from the steps of keys and of documents."""
+    first = np.concatenate([[True], moved[1:] != 0]) if len(moved) else np.zeros(0, bool)
+    total, at = np.cumsum(stepped, dtype=np.uint64), np.flatnonzero(first)
+    return total - np.repeat(total[at] - stepped[at], np.diff(at, append=len(stepped)))
+
+
 def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct sorted keys with their summed counts."""
     if not len(keys):
@@ -129,13 +157,13 @@ class Words:
         seen, all_before = np.minimum(before, 3), max(1.0, float(before.sum()))
         take = np.concatenate([[0.0], low])[seen.astype(np.int64)]
         left = np.minimum(take, before).sum() / all_before if before.any() else 1.0
-        self.unigram = (np.maximum(before - take, 0) / all_before + left / WORDS).astype(np.float64)
-        self.total = total.astype(np.float64)
-        self.left = np.where(total > 0, self.cuts @ kinds / np.maximum(total, 1), 1.0)
+        self.unigram = (np.maximum(before - take, 0) / all_before + left / WORDS).astype(np.float32)
+        self.total = total.astype(np.float32)
+        self.left = np.where(total > 0, self.cuts @ kinds / np.maximum(total, 1), 1.0).astype(np.float32)
 
     def log_probabilities(self, asked: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """log2 p of the second word of each asked bigram; ``keys`` (sorted) with ``counts`` hold those of its shard."""
-        context, word = (asked >> np.uint64(WORD_BITS)).astype(np.int64), (asked & _MASK).astype(np.int64)
+        context, word = taken_apart(asked)
         own = np.zeros(len(asked))
         if len(keys):
             k = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
@@ -167,8 +195,8 @@ def _counts(batches):
     """(lang, shard, data): distinct bigrams of a block and their counts."""
     for _, lang, _, texts in _blocks(batches):
         keys, n = np.unique(np.concatenate([bigrams(t) for t in texts]), return_counts=True)
-        shards = shard_of(keys)
-        packed = [(s, pack(steps(keys[own]), n[own])) for s in range(SHARDS) if (own := shards == s).any()]
+        ends = shard_ends(keys)
+        packed = [(s, pack(steps(keys[a:b]), n[a:b])) for s, (a, b) in enumerate(zip(ends, ends[1:])) if a < b]
         if packed:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(packed), pa.string()), pa.array([s for s, _ in packed], pa.int32()), pa.array([d for _, d in packed], pa.binary())], names=["lang", "shard", "data"])
 
@@ -181,10 +209,9 @@ def _requests(batches):
         keys = np.concatenate(each)
         pairs = keys << np.uint64(16) | np.repeat(np.arange(len(each), dtype=np.uint64), sizes.astype(np.int64))
         pairs, n = np.unique(pairs, return_counts=True)
-        shards = shard_of(pairs >> np.uint64(16))
-        order = np.argsort(shards, kind="stable")
-        pairs, n, ends = pairs[order], n[order], np.searchsorted(shards[order], np.arange(SHARDS + 1))
-        rows = [(s, pack(steps(own >> np.uint64(16)), own & np.uint64(0xFFFF), n[ends[s] : ends[s + 1]])) for s in range(SHARDS) if len(own := pairs[ends[s] : ends[s + 1]]) or not s]
+        keys, near = pairs >> np.uint64(16), pairs & np.uint64(0xFFFF)
+        ends = shard_ends(keys)
+        rows = [(s, pack(steps(keys[a:b]), docs_of(keys[a:b], near[a:b]), n[a:b])) for s, (a, b) in enumerate(zip(ends, ends[1:])) if a < b or not s]
         first = [k == 0 for k in range(len(rows))]
         listed = pa.ListArray.from_arrays(pa.array([0] + [len(ids)] * len(rows), pa.int32()), ids)
         yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.array([lang] * len(rows), pa.string()), pa.array([s for s, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary()), pa.array([pack(sizes) if f else None for f in first], pa.binary()), listed], names=["block", "lang", "shard", "data", "sizes", "ids"])
@@ -202,7 +229,7 @@ def _sums(frame: pd.DataFrame) -> pd.DataFrame:
     for data in frame["data"]:
         k, n = unpack(data)
         keys = np.cumsum(k, dtype=np.uint64)
-        context, word = (keys >> np.uint64(WORD_BITS)).astype(np.int64), (keys & _MASK).astype(np.int64)
+        context, word = taken_apart(keys)
         kinds = [np.bincount(context[n == c if c < 3 else n >= 3], minlength=WORDS) for c in (1, 2, 3)]
         own = np.stack([np.bincount(word, minlength=WORDS), np.bincount(context, n, WORDS), *kinds]).astype(np.uint64)
         often = count_of_counts(n).astype(np.uint64)
@@ -253,7 +280,8 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
         keys = np.cumsum(keys, dtype=np.uint64)
         near, sums = [], []
         for data in asked["data"]:
-            moved, doc, times = unpack(data)
+            moved, near_docs, times = unpack(data)
+            doc = whole_docs(moved, near_docs)
             bits = shared.value[lang].log_probabilities(np.cumsum(moved, dtype=np.uint64), keys, n) * times
             total = np.bincount(doc.astype(np.int64), -bits)
             at = np.flatnonzero(total)
@@ -293,5 +321,6 @@ def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_co
     spared = F.pmod(F.xxhash64(F.lit("calibration"), id_col), F.lit(5)) == 0
     scored = cut(perplexities(docs, trusted.filter(~spared), id_col, text_col, lang_col))
     known = trusted.select(id_col).filter(spared & F.col(id_col).isNotNull()).distinct()
-    limits = scored.join(known, id_col, "left_semi").groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"))
+    limits = cut(scored.join(known, id_col, "left_semi").groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold")))
+    limits = F.broadcast(limits) if limits.count() <= BROADCAST_IDS else limits  # a row for each language
     return scored.join(limits, "lang", "left").select(id_col, F.when(F.col("lang") != "", F.col("lang")).alias("lang"), "perplexity", "threshold", ((F.col("n_words") > 0) & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))).alias("kept"))

@@ -611,7 +611,7 @@ def test_toxicity_of_tables(spark, odd, empty):
 def slow_words(text):
     import xxhash
 
-    return [0] + [xxhash.xxh64_intdigest(w.encode()) % (2**18 - 1) + 1 for w in re.findall(r"[\u3040-\u30ff\u3400-\u9fff]|[^\W_\u3040-\u30ff\u3400-\u9fff]+|[^\w\s]|_", text.lower())]
+    return [0] + [xxhash.xxh64_intdigest(w.encode()) % (2**18 - 1) + 1 for w in re.findall(r"[\u3040-\u30ff\u3400-\u9fff]|[^\W_\u3040-\u30ff\u3400-\u9fff]+|[^\w\s]+|_", text.lower())]
 
 
 def slow_model(texts):
@@ -678,12 +678,23 @@ def test_quality_matches_the_definition(monkeypatch, spark, task_bytes):
 
 def test_probabilities_sum_to_one():
     keys, n = np.unique(kneser_ney.bigrams("the cat sat on the mat and the hat " * 5), return_counts=True)
-    context, word = (keys >> np.uint64(18)).astype(int), (keys & np.uint64(2**18 - 1)).astype(int)
+    context, word = kneser_ney.taken_apart(keys)
     count = lambda x, w=None: np.bincount(x, w, 2**18)
     m = kneser_ney.Words(count(word), count(context, n), np.stack([count(context[n == 1]), count(context[n == 2]), count(context[n >= 3])]), kneser_ney.count_of_counts(n))
     for of in ("the", "unseen"):
-        first = kneser_ney.word_ids(of)[0] << np.uint64(18)
-        assert np.exp2(m.log_probabilities(first + np.arange(2**18, dtype=np.uint64), keys, n)).sum() == pytest.approx(1)
+        asked = kneser_ney.joined(np.full(2**18, kneser_ney.word_ids(of)[0]), np.arange(2**18, dtype=np.uint64))
+        assert np.exp2(m.log_probabilities(asked, keys, n)).sum() == pytest.approx(1, abs=1e-5)
+
+
+def test_bigrams_and_their_documents_return():
+    random = np.random.default_rng(9)
+    before, words = (random.integers(0, 2**18, 5000, dtype=np.uint64) for _ in range(2))
+    keys = kneser_ney.joined(before, words)
+    assert (np.stack(kneser_ney.taken_apart(keys)) == np.stack([before, words])).all()
+    assert len(np.unique(keys)) == len(np.unique(before << np.uint64(18) | words))
+    pairs = np.unique(np.repeat(keys[:100], 50) << np.uint64(16) | random.integers(0, 2**16, 5000, dtype=np.uint64))
+    keys, docs = pairs >> np.uint64(16), pairs & np.uint64(0xFFFF)
+    assert (kneser_ney.whole_docs(kneser_ney.steps(keys), kneser_ney.docs_of(keys, docs)) == docs).all()
 
 
 def test_packed_numbers_return():
