@@ -5,8 +5,9 @@ long enough to count: one begins at every piece, and one more ends the text, so
 is found wherever it begins, in short lines, inside longer lines or across them. Units are
 normalised (case of A-Z, white space) and hashed to 128 bits. Digests are grouped over the whole
 corpus; the occurrence that ranks first, by document id and then offset, stays, and the others are
-cut out of their texts, with their offsets in the original text retained. Only digests that occur
-twice meet the occurrences again, and a digest's group is a count and a minimum, never a list.
+cut out of their texts, with their offsets in the original text retained. Half the digest of every
+unit is counted first, so whole units are shuffled once, and only those that may repeat are kept; a
+digest's group is a count and a minimum, never a list.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from modweave.runtime import cut
 
 #: Digests of at most so many occurrences are never treated as common; what is common changes the plan, not the result.
-HOT_UNITS = 200
+HOT_UNITS, SALTS = 200, 64
 #: A unit has at least so many words, or so many bytes besides white space (for text without spaces).
 MIN_WORDS, MIN_BYTES = 20, 200
 #: Characters that end a piece.
@@ -107,12 +108,23 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", break
             yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), batch.column(0).take(at), batch.column(1).take(at), pa.array(spans, pa.int64())], names=["low", "high", "_id", "_of", "_span"])
 
     # a span is its start and end in one number: a unit is five numbers
-    found = cut(base.filter("_text IS NOT NULL").mapInArrow(split, f"low long, high long, _id {kind}, _of long, _span long"))
-    first = cut(found.groupBy("low", "high").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_of", "_span")).alias("first")).filter("n > 1"))
-    # digests of over a thousandth of all units are at most a thousand: they meet their occurrences where those are
-    common = F.col("n") > max(HOT_UNITS, found.count() // 1000)
-    hot, rare = F.broadcast(first.filter(common).drop("n")), first.filter(~common).drop("n")
-    met = found.join(hot, ["low", "high"]).unionByName(found.join(hot, ["low", "high"], "left_anti").join(rare, ["low", "high"]))
+    found = base.filter("_text IS NOT NULL").mapInArrow(split, f"low long, high long, _id {kind}, _of long, _span long")
+    # half a digest tells which units may repeat; only those meet by their whole digests
+    twice = cut(found.groupBy("low").agg(F.count("*").alias("n")).filter("n > 1"))
+    # halves of over a thousandth of these units are at most a thousand: their units are salted
+    common = F.col("n") > max(HOT_UNITS, (twice.agg(F.sum("n")).first()[0] or 0) // 1000)
+    hot = F.broadcast(twice.filter(common).select("low", F.lit(True).alias("hot")))
+    salted = lambda salt: F.xxhash64(F.col("low"), salt)
+    salt = F.pmod(F.xxhash64("_id", "_of", "_span"), F.lit(SALTS).cast("long"))
+    spread = twice.filter(common).select("low", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    wanted = twice.filter(~common).select(salted(F.lit(-1).cast("long")).alias("key")).unionByName(spread.select(salted(F.col("salt")).alias("key"))).distinct()
+    keyed = found.join(hot, "low", "left").withColumn("key", salted(F.when(F.col("hot"), salt).otherwise(F.lit(-1).cast("long"))))
+    met = cut(keyed.join(wanted, "key", "left_semi").select("low", "high", "_id", "_of", "_span"))
+    first = cut(met.groupBy("low", "high").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_of", "_span")).alias("first")).filter("n > 1"))
+    often = F.col("n") > max(HOT_UNITS, met.count() // 1000)
+    told = lambda rows, own: rows.join(own.drop("n"), ["low", "high"])
+    most = F.broadcast(first.filter(often))
+    met = told(met, most).unionByName(told(met.join(most.select("low", "high"), ["low", "high"], "left_anti"), first.filter(~often)))
     end = lambda c: c.bitwiseAND(0xFFFFFFFF)
     again = met.filter(~F.struct("_id", "_of", "_span").eqNullSafe(F.col("first"))).select("_id", "_of", F.shiftright("_span", 32).alias("start"), end(F.col("_span")).alias("end"), "first")
     beside = F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("_of") == F.col("first._of"))
