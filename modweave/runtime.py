@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -34,3 +34,15 @@ def saved(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/saved-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str = "n", least: int = 1000) -> DataFrame:
+    """Inner join of ``rows`` with one row for each key, whose ``count`` (dropped) tells how many rows have the key.
+
+    Keys of over a thousandth of all rows are at most a thousand: they meet their rows by broadcast,
+    the others by a shuffle. Both inputs are read more than once.
+    """
+    total = table.agg(F.sum(count)).first()[0] or 0
+    common = F.col(count) > max(least, total // 1000)
+    hot, rare = F.broadcast(table.filter(common).drop(count)), table.filter(~common).drop(count)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rare, key))
