@@ -18,9 +18,9 @@ from modweave.llm.bytegrams import ORDER, PAD, codes
 
 #: Training takes about so many documents of each language, picked by a hash of their id.
 SAMPLE_PER_LANG = 1500
-#: The compiled table has at most so many (state, byte, language) cells of 4 bytes.
-MAX_CELLS = 12_000_000
-#: Contexts seen less often than this, by order, are left to the next shorter one.
+#: The compiled table has at most so many (state, byte) cells of 4 bytes for each language, however many there are.
+CELLS = 3_000_000
+#: Contexts seen less often than this in every language, by order, are pruned: the next shorter one codes for them.
 LEAST_SEEN = (0, 1, 8, 32)
 STEP = 1_000_000
 
@@ -45,7 +45,7 @@ class Model:
             c = self.classes.astype(np.int64)
             symbols[lang] = ((c[(found >> 24) & 255] * a + c[(found >> 16) & 255]) * a + c[(found >> 8) & 255], c[found & 255])
             counts[lang] = n.astype(np.float64)
-        room, kept = max(1, MAX_CELLS // (a * max(1, len(langs)))), {0: np.zeros(1, np.int64)}
+        room, kept = max(1, CELLS // a), {0: np.zeros(1, np.int64)}
         for order in range(1, ORDER + 1):
             best = np.zeros(0)
             context = np.zeros(0, np.int64)
@@ -131,10 +131,11 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """Fit on rows with text and language, about ``per_lang`` of each language.
 
     The sample is picked by a hash of the id, so repeated rows come together. Rows with a null
-    text or language are not used; no rows give a model without languages.
+    text or language are not used, empty texts teach nothing; no rows give a model without
+    languages. Other columns, whatever their names, are not read.
     """
     rows = labelled.select(F.col(lang_col).alias("lang"), F.lower(text_col).alias("text"), F.pmod(F.xxhash64(F.lit("langid"), id_col), F.lit(1 << 20)).alias("pick")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["lang"]: r["count"] for r in labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).count().collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return Model([], {})
     part = F.create_map(*(x for lang, n in sorted(sizes.items()) for x in (F.lit(lang), F.lit(min(1 << 20, (per_lang << 20) // n)))))
@@ -148,9 +149,10 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     Only the text is read. lang_pred is ``und``, with score 0 and null bits_per_byte, where the text
     is null or has no letter, and everywhere if the model has no languages; the first language in
-    alphabetical order wins a tie. Columns of ``docs`` with these names are replaced.
+    alphabetical order wins a tie. Repeated rows get the same; long texts are scored in steps; empty
+    input gives no rows. Columns of ``docs`` with these names are replaced, all others are kept.
     """
-    docs = docs.drop("lang_pred", "score", "bits_per_byte")
+    names = [c for c in docs.columns if c not in ("lang_pred", "score", "bits_per_byte")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(texts: pd.Series) -> pd.DataFrame:
@@ -169,4 +171,5 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     udf = F.pandas_udf(score, "lang_pred string, score double, bits_per_byte double")
     text = F.when(F.col(text_col).rlike(r"\p{L}"), F.lower(text_col).cast("binary"))
-    return docs.withColumn("_lid", udf(text)).select(*(docs[c] for c in docs.columns), F.col("_lid.lang_pred").alias("lang_pred"), F.col("_lid.score").alias("score"), F.nanvl("_lid.bits_per_byte", F.lit(None)).alias("bits_per_byte"))
+    told = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_kept"), udf(text).alias("_lid"))
+    return told.select(*(F.col("_kept")[c].alias(c) for c in names), F.col("_lid.lang_pred").alias("lang_pred"), F.col("_lid.score").alias("score"), F.nanvl("_lid.bits_per_byte", F.lit(None)).alias("bits_per_byte"))

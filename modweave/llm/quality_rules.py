@@ -147,12 +147,15 @@ def fit(x: np.ndarray, y: np.ndarray, monotone: list[int], trees: int = 60, dept
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE_ROWS) -> Trees:
     """Fit on about ``sample`` rows labelled 0 or 1; without any the score is 0.5 everywhere.
 
-    A null text counts as empty; ids with several labels take the lowest.
+    A null text counts as empty; ids with several labels take the lowest; null ids and labels
+    without a document are not used; documents that repeat an id are all used, and ties in all
+    counts are alike. Other columns, whatever their names, are not read.
     """
-    known = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("y")).filter("_id IS NOT NULL")
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("y")).filter("y IN (0, 1) AND _id IS NOT NULL").groupBy("_id").agg(F.min("y").cast("int").alias("y"))
     share = min(1 << 20, (sample << 20) // max(1, known.count()))
     picked = F.broadcast(known.filter(F.pmod(F.xxhash64(F.lit("quality"), "_id"), F.lit(1 << 20)) < share))  # about ``sample`` rows
-    rows = docs.join(picked, docs[id_col] == picked["_id"]).select("y", F.col(text_col).cast("binary").alias("data"))
+    read = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("data"))
+    rows = read.join(picked, "_id").select("y", "data")
     found = rows.mapInArrow(_counts("y", None), ", ".join(["y int", *(f"{c} long" for c in STATS)])).toPandas().sort_values(["y", *STATS])
     return fit(features(found[STATS].to_numpy()), found["y"].to_numpy(np.float64), MONOTONE)
 
@@ -176,7 +179,8 @@ def rules(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_col: str =
 
     base_failed: under 50 words, or over half of the words in repeated 3-word windows. kept: not
     base_failed and a score of at least ``threshold``. A null text has no words. Repeated rows and
-    null ids are kept; other columns are not read.
+    null ids are kept; empty input gives no rows; a long text is counted in one pass. Other columns,
+    whatever their names, are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)

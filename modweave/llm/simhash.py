@@ -4,13 +4,16 @@ Two fingerprints within ``radius`` bits share a variant within ``radius / 2`` of
 shared variant proves the distance. Every distinct fingerprint therefore emits all variants in
 its half ball. A variant is routed by its leading bits, so the shuffle carries a fingerprint once
 per reachable prefix (1 + b + b(b-1)/2 of them) and the task that owns the prefix enumerates the
-variants itself; prefixes with many fingerprints are split further by a hash of the variant.
-Equal fingerprints are merged first, so a large group of copies costs one fingerprint.
+variants itself. Where a prefix receives more variants than a task should hold, what was sent to
+it is dealt on by four more bits, again only to the prefixes that a variant can reach, so no
+variant is made twice. Equal fingerprints are merged first, so a large group of copies costs one
+fingerprint.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pandas as pd
@@ -19,11 +22,15 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from modweave.operators.components import connected_components
-from modweave.runtime import cut
+from modweave.runtime import cut, join_counted
 
 SEED = 42
-#: Fingerprints of one prefix that a task enumerates; more are split by the variants' hash.
+#: Fingerprints whose variants a task enumerates; prefixes that receive more are dealt on.
 PER_TASK = 1024
+#: Prefixes grow no longer than this: the fingerprints below one are then few enough by their number of bits.
+MOST_BITS = 44
+#: Fingerprints, roots and crowded prefixes are broadcast up to this many rows, and joined by a shuffle beyond.
+BROADCAST_ROWS = 200_000
 
 
 def simhash(data: bytes | None, width: int = 4) -> int:
@@ -80,62 +87,68 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = up
 
 
-def _collide(fps: np.ndarray, bucket: int, prefix_bits: int, radius: int, parts: int, part: int) -> tuple[np.ndarray, np.ndarray]:
-    """(member, root) indices of fingerprints that share a variant with the prefix ``bucket``."""
-    half, low = radius // 2, 64 - prefix_bits
-    moved = (fps >> np.uint64(low)) ^ np.uint64(bucket)
-    away = np.bitwise_count(moved)
-    base = fps ^ (moved << np.uint64(low))
+def _collide(fps: np.ndarray, base: np.ndarray, left: np.ndarray, prefix_bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint, root) of fingerprints that share a variant; ``base`` is one with the prefix, and ``left`` bits may differ below it."""
+    kinds, own = np.unique(fps, return_inverse=True)
     variants, owners = [], []
-    for d in range(half + 1):
-        at = np.flatnonzero(away == d).astype(np.int32)
-        if not len(at):
-            continue
-        for mask in np.array_split(_masks(low, half - d), max(1, len(at) * 1600 // 4_000_000)):
-            v = (base[at][:, None] ^ mask[None, :]).ravel()
-            o = np.repeat(at, len(mask))
-            if parts > 1:
-                mine = ((v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(parts) == np.uint64(part)
-                v, o = v[mine], o[mine]
-            variants.append(v)
-            owners.append(o)
+    for d in np.unique(left):
+        at = np.flatnonzero(left == d)
+        masks = _masks(64 - prefix_bits, int(d))
+        variants.append((base[at][:, None] ^ masks[None, :]).ravel())
+        owners.append(np.repeat(own[at].astype(np.int32), len(masks)))
     v, o = np.concatenate(variants), np.concatenate(owners)
     order = np.argsort(v)
     v, o = v[order], o[order]
     same = np.flatnonzero(v[1:] == v[:-1])
-    if not len(same):
-        return same, same
     a, b = o[same], o[same + 1]  # a chain through the members of a variant: as good as all their pairs
-    pairs = np.unique(np.minimum(a, b).astype(np.int64) * len(fps) + np.maximum(a, b))
-    a, b = pairs // len(fps), pairs % len(fps)
-    near = np.bitwise_count(fps[a] ^ fps[b]) <= radius
-    label = _roots(len(fps), a[near], b[near])
-    member = np.flatnonzero(label != np.arange(len(fps)))
-    return member, label[member]
+    pairs = np.unique(np.minimum(a, b).astype(np.int64) * len(kinds) + np.maximum(a, b))
+    a, b = pairs // len(kinds), pairs % len(kinds)
+    near = np.bitwise_count(kinds[a] ^ kinds[b]) <= radius
+    label = _roots(len(kinds), a[near], b[near])
+    member = np.flatnonzero(label != np.arange(len(kinds)))
+    return kinds[member], kinds[label[member]]
+
+
+def _flipped(rows: DataFrame, bits: int, masks: list[int]) -> DataFrame:
+    """Rows (fp, base, left, p) dealt on by ``bits`` more bits: to every prefix that a variant can reach."""
+    moved = rows.withColumn("moved", F.explode(F.array(*(F.lit(m).cast("long") for m in masks)))).filter(F.bit_count("moved") <= F.col("left"))
+    at = F.lit(64 - bits) - F.col("p")
+    return moved.select("fp", F.col("base").bitwiseXOR(F.call_function("shiftleft", "moved", at)).alias("base"), (F.col("left") - F.bit_count("moved")).alias("left"), (F.col("p") + bits).alias("p"))
 
 
 def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     """(src, dst): links that join every pair of the distinct ``fp`` within ``radius`` bits (even).
 
-    Not all such pairs are listed, but they have the same connected components. Empty input
-    gives no links.
+    Not all such pairs are listed, but they have the same connected components. Null fingerprints
+    have no links. Empty input gives none.
     """
     half = radius // 2
     bits = min(20, max(8, (max(1, fps.count()) // PER_TASK).bit_length()))
-    near = [int(m) for m in _masks(bits, half)]
-    home = F.shiftrightunsigned("fp", 64 - bits)
-    crowd = fps.groupBy(home.alias("bucket")).agg(F.ceil(F.count("*") / PER_TASK).cast("int").alias("parts"))
-    sent = fps.select("fp", F.explode(F.array(*map(F.lit, near))).alias("moved")).select("fp", home.bitwiseXOR(F.col("moved").cast("long")).alias("bucket"))
-    sent = sent.join(crowd, "bucket", "left").select("fp", "bucket", F.coalesce("parts", F.lit(1)).alias("parts"))
-    sent = sent.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    start = fps.filter("fp IS NOT NULL").select("fp", F.col("fp").alias("base"), F.lit(half).alias("left"), F.lit(0).alias("p"))
+    sent = _flipped(start, bits, [int(m) for m in _masks(bits, half)])
+    bucket = F.call_function("shiftrightunsigned", F.col("base"), F.lit(64) - F.col("p"))
+    variants = lambda p, left: sum(math.comb(64 - p, k) for k in range(left + 1))
+    most, done, p = PER_TASK * variants(bits, half), [], bits
+    while p < MOST_BITS:
+        cost = F.element_at(F.array(*(F.lit(variants(p, k)).cast("long") for k in range(half + 1))), F.col("left") + 1)
+        crowd = cut(sent.groupBy(bucket.alias("bucket")).agg(F.sum(cost).alias("cost")).filter(F.col("cost") > 2 * most).select("bucket"))
+        n = crowd.count()
+        if not n:
+            break
+        crowd = F.broadcast(crowd) if n <= BROADCAST_ROWS else crowd
+        placed = sent.withColumn("bucket", bucket)
+        done.append(placed.join(crowd, "bucket", "left_anti").drop("bucket"))
+        sent = cut(_flipped(placed.join(crowd, "bucket", "left_semi").drop("bucket"), 4, [int(m) for m in _masks(4, half)]))
+        p += 4
+    for rows in done:
+        sent = sent.unionByName(rows)
 
     def collide(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        bucket, parts, part = (int(x) for x in key)
-        x = np.sort(frame["fp"].to_numpy(np.int64)).view(np.uint64)
-        member, root = _collide(x, bucket, bits, radius, parts, part)
-        return pd.DataFrame({"src": x[member].view(np.int64), "dst": x[root].view(np.int64)})
+        fp, base = (frame[c].to_numpy(np.int64).view(np.uint64) for c in ("fp", "base"))
+        member, root = _collide(fp, base, frame["left"].to_numpy(), int(key[0]), radius)
+        return pd.DataFrame({"src": member.view(np.int64), "dst": root.view(np.int64)})
 
-    return sent.groupBy("bucket", "parts", "part").applyInPandas(collide, "src long, dst long")
+    return sent.withColumn("bucket", bucket).groupBy("p", "bucket").applyInPandas(collide, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
@@ -144,12 +157,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is the least id reachable over fingerprints at ``radius`` or fewer differing
     bits. Texts that are null, empty or without words have fingerprint zero and are linked like
     any other. Repeated rows give repeated results; a null id never becomes a component's id
-    unless all ids of the component are null. Other columns are not read.
+    unless all ids of the component are null. Long texts are hashed in one pass, some shingles at a
+    time. Empty input gives no rows. Other columns, whatever their names, are not read.
     """
     scored = cut(fingerprints(docs, id_col, text_col, width))
-    first = cut(scored.groupBy("fp").agg(F.min(id_col).alias("first")))
-    found = connected_components(links(first.select("fp"), radius))
-    rooted = first.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = rooted.join(named, "root").select("fp", "component_id")
-    return scored.join(of, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    first = cut(scored.groupBy("fp").agg(F.min(id_col).alias("first"), F.count("*").alias("n")))
+    found = connected_components(links(first.select("fp"), radius)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    linked = cut(first.join(found, "fp"))  # most fingerprints are alone, and need no second join
+    named = cut(linked.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n")))
+    of = join_counted(linked.select("fp", "root", F.col("n").alias("rows")), named, "root").select("fp", "component_id", F.col("rows").alias("n"))
+    alone = first.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("first").alias("component_id"), "n")
+    return join_counted(scored, cut(of.unionByName(alone)), "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
