@@ -1,4 +1,8 @@
-"""A training-data pipeline over ``documents``: five of the operators, each on what the last one kept."""
+"""A training-data pipeline over ``documents``: five of the operators, each on what the last one kept.
+
+Every stage takes nulls in any column, empty, very long and repeated texts, empty tables and extra
+columns of any names; columns that it does not write keep their values.
+"""
 
 from __future__ import annotations
 
@@ -18,38 +22,50 @@ BROADCAST_IDS = 2_000_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents without text, without letters or in no known language go."""
+    """Language ID: documents without text, without letters or in no known language go.
+
+    Learned outside the held-out fold. Rows with null ids stay if their text does; repeated rows
+    share their fate. A table without any text and language teaches nothing, and all rows go.
+    """
     model = langid.train(docs.filter(~held_out()))
     told = langid.identify(docs, model)
     return told.filter((F.col("lang_pred") != "und") & (F.col("bits_per_byte") <= MOST_BITS)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-duplicates: one row of each component stays, the first by id and then a hash of the text."""
-    key = F.struct(F.col("doc_id"), F.xxhash64("text").alias("of"))
+    """SimHash near-duplicates: one row of each component stays, the least by id (null first) and then a hash of the row.
+
+    Rows that repeat all columns are one. Texts that are null or without words are one component.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    key = F.struct(F.col("doc_id"), F.xxhash64(*columns).alias("of"))
     found = cut(simhash.near_duplicates(docs.select(key.alias("key"), "text"), "key"))
     gone = found.filter("key <> component_id").select(F.col("key.doc_id").alias("_id"), F.col("key.of").alias("_of")).distinct()
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_of"]), "left_anti")
-    if found.groupBy("key").count().filter("count > 1").limit(1).count():  # rows that repeat id and text
-        kept = kept.withColumn("_of", F.xxhash64("text")).dropDuplicates(["doc_id", "_of"]).drop("_of")
-    return kept
+    rows = docs.select(F.col("doc_id").alias("_doc"), F.xxhash64(*columns).alias("_row"), F.struct(*columns).alias("_kept"))
+    kept = rows.join(gone, rows["_doc"].eqNullSafe(gone["_id"]) & (rows["_row"] == gone["_of"]), "left_anti")
+    if found.groupBy("key").count().filter("count > 1").limit(1).count():  # rows that repeat all columns
+        kept = kept.dropDuplicates(["_doc", "_row"])
+    return kept.select("_kept.*")
 
 
 def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secret scan: spans are masked, so n_chars is counted anew."""
+    """Secret scan: spans are masked, copied or not, so n_chars is counted anew (null for a null text)."""
     return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing: every document as often as its copies say."""
+    """Mixing: every document as often as its copies say, repeated rows alike.
+
+    A table without labelled documents, or without words, stays as it is.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     classifier = mixing.train(docs.select("doc_id", "text"), domains(labels))
     return mixing.resample(docs, classifier, TARGETS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packing: pieces of all documents in sequences of at most 4096 tokens."""
+    """Packing: pieces of all documents in sequences of at most 4096 tokens; an empty text is its end token, a null id stays null."""
     return packing.pack(docs, tokenizer_path())
 
 
@@ -66,7 +82,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage returns is written to the shared folder and read again."""
+    """All stages over ``documents``; what a stage returns is written to the shared folder and read again. Empty tables give no rows."""
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
