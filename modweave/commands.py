@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import argparse
 import posixpath
+import subprocess
 import sys
+from collections import Counter
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -99,13 +102,11 @@ def imports(ix: Index, path: str) -> list[str]:
 
 def import_chain(ix: Index, start: str, target: str) -> list[str]:
     weighted = lookups.resolved(ix.imports).groupBy(F.col("importer_path").alias("src"), F.col("exporter_path").alias("dst")).agg(F.count("*").alias("names"))
-    back = reach.dependents(weighted, weighted.sparkSession.createDataFrame([(target,)], "node string"))
-    part = cut(weighted.join(back.select(F.col("node").alias("src")), "src", "left_semi").join(back.select(F.col("node").alias("dst")), "dst", "left_semi"))
-    loops = scc.cyclic_components(part)
-    inner = part.join(loops.select(F.col("node").alias("src"), F.col("scc_id").alias("a")), "src", "left").join(loops.select(F.col("node").alias("dst"), F.col("scc_id").alias("b")), "dst", "left")
-    open_ = cut(inner.filter(~F.coalesce(F.col("a") == F.col("b"), F.lit(False))).select("src", "dst", "names"))  # edges inside a cycle are not followed
-    counts = {r["node"]: r["paths"] for r in dag.path_counts(open_, target).collect()}
-    return dag.import_chain(_pairs(open_), counts, start, target)
+    weighted = cut(weighted)
+    one = lambda path: weighted.sparkSession.createDataFrame([(path,)], "node string")
+    between = cut(reach.dependents(weighted, one(target)).join(reach.dependencies(weighted, one(start)), "node", "left_semi"))
+    part = weighted.join(between.select(F.col("node").alias("src")), "src", "left_semi").join(between.select(F.col("node").alias("dst")), "dst", "left_semi")
+    return dag.import_chain([(r["src"], r["dst"], r["names"]) for r in part.collect()], start, target)
 
 
 def inspect(ix: Index, path: str) -> dict:
@@ -116,8 +117,8 @@ def project_use(ix: Index, start: str, to: str, symbols: bool = False) -> DataFr
     return (lookups.project_use_symbols if symbols else lookups.project_use)(ix.imports, start, to)
 
 
-def symbol_usage(ix: Index, config: str, symbol: str) -> DataFrame:
-    return lookups.symbol_usage(ix.imports, config, symbol)
+def symbol_usage(ix: Index, project: str, symbol: str) -> DataFrame:
+    return lookups.symbol_usage(ix.imports, project, symbol)
 
 
 def trace_imports(ix: Index, path: str, from_project: str | None = None) -> DataFrame:
@@ -153,7 +154,7 @@ def needs(ix: Index, path: str) -> list[str] | None:
 
 
 def type_leaf_usage(ix: Index, folder: str, types: list[str], everything: bool = False) -> list[str]:
-    users = cut(lookups.users_of_types(ix.imports, types, everything).filter(lookups.within("path", folder)).select(F.col("path").alias("node")))
+    users = cut(lookups.users_of_types(ix.imports, types, everything, folder).select(F.col("path").alias("node")))
     return [r[0] for r in reach.leaf_users(ix.edges(), users).orderBy("node").collect()]
 
 
@@ -177,10 +178,24 @@ def tsort(ix: Index, paths: list[str], project: bool = False) -> list[str] | Non
     return dag.toposort(edges, [*paths, *(n for e in edges for n in e)])
 
 
+def cyclic_modules(ix: Index, paths: list[str], project: bool = False) -> list[str]:
+    """Modules on cycles below the paths, imports of themselves included: why :func:`tsort` has no order."""
+    edges = _reachable(ix, paths, _scoped(ix, paths[0], project))
+    root = scc.tarjan(edges)
+    many = [r for r, n in Counter(root.values()).items() if n > 1]
+    return sorted({n for n, r in root.items() if r in many} | {a for a, b in edges if a == b})
+
+
 def outline(ix: Index, path: str, with_imports: bool = False) -> list[tuple]:
     return [m for m in Module(ix.text(path)).outline() if with_imports or m[2] != "import"]
 
 
+def outline_summary(ix: Index, path: str) -> str:
+    """How many members of each type a file has, imports included."""
+    counts = Counter(m[2] for m in Module(ix.text(path)).outline())
+    return f"# {display(path, ix.cwd)}\nSummary: {', '.join(f'{n} {kind}' for kind, n in counts.items())}\n"
+
+
 def propose_split(ix: Index, source: str, target: str, symbols: list[str]) -> model.Plan:
     return proposals.propose_split(source, ix.text(source), target, symbols)
 
@@ -223,6 +238,20 @@ def move(ix: Index, old: str, new: str) -> model.Plan:
     return plan
 
 
+def version_control_move(old: str, new: str) -> bool:
+    """Tell version control of a move, if it knows the file; the file is back at its old place for the plan that moves it."""
+    folder, git = posixpath.dirname(old), ["git", "-C", posixpath.dirname(old)]
+    if subprocess.run([*git, "ls-files", "--error-unmatch", old], capture_output=True).returncode:
+        return False
+    text = Path(old).read_bytes()
+    Path(new).parent.mkdir(parents=True, exist_ok=True)
+    subprocess.run([*git, "mv", old, new], check=True, capture_output=True)
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    Path(old).write_bytes(text)
+    Path(new).unlink()
+    return True
+
+
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="modweave")
     sub = p.add_subparsers(dest="command", required=True)
@@ -294,8 +323,9 @@ def run(spark: SparkSession, args: list[str], cwd: str) -> str:
         case "dependencies":
             return shown(dependencies(ix, [full(p) for p in a.paths], a.project))
         case "tsort":
-            order = tsort(ix, [full(p) for p in a.paths], a.project)
-            return "There is a cycle." if order is None else shown(order)
+            starts = [full(p) for p in a.paths]
+            order = tsort(ix, starts, a.project)
+            return shown(order) if order is not None else "There is a cycle among:\n" + shown(cyclic_modules(ix, starts, a.project))
         case "imports":
             return shown(imports(ix, first))
         case "inspect":
@@ -328,9 +358,11 @@ def run(spark: SparkSession, args: list[str], cwd: str) -> str:
         case "type-leaf-usage":
             return shown(type_leaf_usage(ix, first, a.types, a.everything))
         case "outline":
-            return lines(f"{m[0]}-{m[1]} {m[2]} {m[5] if a.verbose else m[3]}" for m in outline(ix, first, a.with_imports))
+            members = lines(f"{m[0]}-{m[1]} {m[2]} {m[5] if a.verbose else m[3]}" for m in outline(ix, first, a.with_imports))
+            return f"{outline_summary(ix, first)}\n{members}" if a.verbose else members
         case "mv":
             plan = move(ix, first, full(a.target))
+            version_control_move(first, full(a.target))
             model.execute(plan, model.Disk())
             return model.display(plan)
         case "split" | "propose-split":

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from modweave.operators.components import connected_components
 from modweave.operators.reach import hop_distance
+from modweave.operators.scc import cyclic_components
 from modweave.runtime import cut
 
 
@@ -40,7 +41,10 @@ def leaves(dag: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def depths(dag: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(scc_id, depth): the fewest edges to any leaf. Raises on a cycle, which has no leaf below it or a node above one."""
+    """(scc_id, depth): the fewest edges to any leaf. Raises if a node lies on a cycle, as components never do."""
+    wrong = cyclic_components(dag.select(F.col("src_scc").alias("src"), F.col("dst_scc").alias("dst"))).select("node").first()
+    if wrong or not dag.filter("src_scc = dst_scc").isEmpty():
+        raise GraphError(f"not acyclic: a cycle holds {wrong[0] if wrong else 'only itself'!r}")
     back = dag.select(F.col("dst_scc").alias("src"), F.col("src_scc").alias("dst"))
     found = hop_distance(back, leaves(dag, nodes).select(F.col("scc_id").alias("node")))
     return found.select(F.col("node").alias("scc_id"), F.col("hops").alias("depth"))
@@ -92,11 +96,12 @@ EXACT_LEAVES = 20
 
 
 def leaf_partition(distances: DataFrame) -> DataFrame:
-    """(leaf, side): two sides, A and B, whose cross distances have the largest sum.
+    """(leaf, side): two sides, A and B, whose cross distances have the largest sum; neither is empty.
 
     Under two leaves all are in A. Up to 20, all partitions with the first leaf in A compete, as
-    rows of a range; ties go to the lexicographically least string of sides. Beyond, leaves are
-    taken in order after the farthest from the first, each to the side that adds more (ties: A).
+    rows of a range; ties go to the lexicographically least string of 1 (A) and 0 (B). Beyond, the
+    first leaf is in A, the farthest from it in B, and the others are taken in order, each to the
+    side that adds more (ties: A), where leaves that are not taken yet count as B.
     """
     spark = distances.sparkSession
     rows = distances.filter("a < b").select("a", "b", F.coalesce("hops", F.lit(0)).alias("d")).collect()
@@ -106,24 +111,28 @@ def leaf_partition(distances: DataFrame) -> DataFrame:
         return distances.select(F.col("a").alias("leaf"), F.lit("A").alias("side"))
     far = {(at[r["a"]], at[r["b"]]): r["d"] for r in rows}
     if n <= EXACT_LEAVES:
-        # bit n-1-i of the mask says that leaf i is in B, so the least mask is the least string
-        masks = spark.range(2 ** (n - 1)).withColumnRenamed("id", "mask")
-        bit = lambda i: F.shiftright("mask", n - 1 - i).bitwiseAND(1)
+        # bit n-1-i of the mask says that leaf i is in A, so the least mask is the least string; with all bits, B would be empty
+        masks = spark.range(2 ** (n - 1) - 1).withColumnRenamed("id", "mask")
+        bit = lambda i: F.shiftright("mask", n - 1 - i).bitwiseAND(1) if i else F.lit(1)
         total = sum((F.when(bit(i) != bit(j), d).otherwise(0) for (i, j), d in far.items() if d), F.lit(0))
         mask = masks.select("mask", total.alias("total")).agg(F.max_by("mask", F.struct("total", -F.col("mask")))).first()[0]
-        sides = ["B" if mask >> (n - 1 - i) & 1 else "A" for i in range(n)]
+        sides = ["A" if not i or mask >> (n - 1 - i) & 1 else "B" for i in range(n)]
     else:
-        d = lambda i, j: far.get((min(i, j), max(i, j)), 0)
-        seed = max(range(1, n), key=lambda j: (d(0, j), -j))
-        sides = [""] * n
-        sides[0], sides[seed] = "A", "B"
-        for i in range(n):
-            if not sides[i]:
-                to = {s: sum(d(i, j) for j in range(n) if sides[j] == s) for s in "AB"}
-                sides[i] = "A" if to["B"] >= to["A"] else "B"
+        sides = greedy_sides(n, lambda i, j: far.get((min(i, j), max(i, j)), 0))
     return spark.createDataFrame(list(zip(names, sides, strict=True)), f"leaf {distances.schema['a'].dataType.simpleString()}, side string")
 
 
+def greedy_sides(n: int, distance) -> list[str]:
+    """Sides of leaves 0 to n-1, beyond :data:`EXACT_LEAVES`."""
+    seed = max(range(1, n), key=lambda j: (distance(0, j), -j))
+    sides = ["A"] + ["B"] * (n - 1)
+    for i in range(1, n):
+        if i != seed:
+            to_a, to_b = (sum(distance(i, j) for j in range(n) if j != i and sides[j] == s) for s in "AB")
+            sides[i] = "A" if to_b >= to_a else "B"
+    return sides
+
+
 def levels(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((node, level), left): rounds in which Kahn's algorithm frees the nodes, dependents first.
 
@@ -171,39 +180,55 @@ def toposort(edges: list[tuple[str, str]], nodes: list[str], reverse: bool = Fal
 def path_counts(weighted: DataFrame, target) -> DataFrame:
     """(node, paths): ways from a node to the target, a way for each imported name of an edge.
 
-    ``weighted`` is (src, dst, names) and must be acyclic above the target. Sums run backwards,
-    length by length; a decimal holds them.
+    ``weighted`` is (src, dst, names) and must be acyclic above the target, else an error is raised.
+    Sums run backwards, length by length; a decimal holds them.
     """
-    back = weighted.select("src", "dst", F.col("names").cast("decimal(38,0)").alias("names"))
+    back = cut(weighted.select("src", "dst", F.col("names").cast("decimal(38,0)").alias("names")).repartition("dst"))
     front = cut(back.sparkSession.createDataFrame([(target,)], f"node {weighted.schema['dst'].dataType.simpleString()}").withColumn("paths", F.lit(1).cast("decimal(38,0)")))
-    total = front
+    total, left = front, None
     while True:
         front = cut(back.join(front, back["dst"] == front["node"]).groupBy("src").agg(F.sum((F.col("names") * F.col("paths")).cast("decimal(38,0)")).cast("decimal(38,0)").alias("paths")).select(F.col("src").alias("node"), "paths"))
         if front.isEmpty():
             break
+        left = back.select("src").distinct().count() if left is None else left - 1  # a way visits each importer once
+        if left <= 0:
+            raise GraphError("ways cannot be counted: there is a cycle above the target")
         total = total.unionByName(front)
     return total.groupBy("node").agg(F.sum("paths").cast("decimal(38,0)").alias("paths"))
 
 
-def import_chain(edges: list[tuple[str, str]], counts: dict, start, target) -> list:
-    """From start to target, always to the child with the fewest ways on, the first of equals; only the start if there is no way."""
-    after: dict = {}
-    for a, b in sorted(set(edges)):
-        after.setdefault(a, []).append(b)
+def import_chain(edges: list[tuple], start, target) -> list:
+    """From start to target, always to the child with the fewest ways on, the first of equals; only the start if there is no way.
+
+    ``edges`` are (src, dst, names). Ways are counted depth first, children ascending, a way for each
+    imported name; a module whose own count is not complete, as one is inside a cycle, has no way
+    from there.
+    """
     if start == target:
         raise GraphError(f"{start!r} cannot import itself")
-    out, seen = [start], {start}
-    while start != target:
-        best = [(counts[c], i, c) for i, c in enumerate(after.get(start, [])) if c in counts and c not in seen]
-        if not best:
-            break
-        start = min(best)[2]
-        seen.add(start)
-        out.append(start)
+    after: dict = {}
+    for a, b, names in sorted(edges):
+        after.setdefault(a, []).append((b, names))
+    ways, onward, stack = {target: 1}, {target: []}, [(start, iter(after.get(start, [])))]
+    onward[start] = []
+    while stack:
+        node, children = stack[-1]
+        child = next((c for c, _ in children if c not in onward), None)
+        if child is not None:
+            onward[child] = []
+            stack.append((child, iter(after.get(child, []))))
+            continue
+        stack.pop()
+        done = [(c, n) for c, n in after.get(node, []) if c in ways and ways[c]]
+        onward[node] = [c for c, _ in done]
+        ways[node] = sum(n * ways[c] for c, n in done)
+    out = [start]
+    while onward[out[-1]]:
+        out.append(min(onward[out[-1]], key=lambda c: ways[c]))
     return out
 
 
-def render_tree(edges: list[tuple[str, str]], roots: list[str], depth: int = 50) -> str:
+def render_tree(edges: list[tuple[str, str]], roots: list[str]) -> str:
     """Nested list: ``.`` for a leaf, ``:`` for a node with children, ``...`` for one listed before."""
     after: dict[str, list[str]] = {}
     for a, b in sorted(set(edges)):
@@ -215,7 +240,7 @@ def render_tree(edges: list[tuple[str, str]], roots: list[str], depth: int = 50)
         kids = after.get(node, [])
         mark = "." if not kids else "..." if node in seen else ":"
         lines.append(f"{'  ' * level}{node}{mark}")
-        if kids and node not in seen and level < depth:
+        if kids and node not in seen:
             stack.extend((k, level + 1) for k in reversed(kids))
         seen.add(node)
     return "\n".join(lines)

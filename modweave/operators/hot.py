@@ -9,6 +9,8 @@ from modweave.runtime import cut
 
 #: What every relation adds, and the score of a node that is entered again inside a cycle.
 RELATION, REENTERED = 0.1, 100.0
+#: A range of so many scores is sorted.
+SORTED = 10_000
 
 
 def _direction(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -106,10 +108,25 @@ def hottest(scored: DataFrame, n: int = 10) -> DataFrame:
 
 
 def spread(scored: DataFrame) -> DataFrame:
-    """(least, middle, most) badness; middle is the upper median."""
-    middle = scored.orderBy("badness").offset(scored.count() // 2).limit(1).select(F.col("badness").alias("middle"))
-    ends = scored.agg(F.min("badness").alias("least"), F.max("badness").alias("most"))
-    return ends.join(middle, F.lit(True)).select("least", "middle", "most")
+    """(least, middle, most) badness; middle is the upper median, found in ever smaller ranges. No rows give none."""
+    values = cut(scored.select("badness"))
+    n, least, most = values.agg(F.count("*"), F.min("badness"), F.max("badness")).first()
+    k, low, high, before = n // 2, least, most, 0
+    while n and low < high:  # the middle lies in [low, high], after so many below
+        inside = values.filter(F.col("badness").between(low, high))
+        size = inside.count()
+        if size <= SORTED:
+            break
+        share = (k - before) / size
+        a, b = inside.agg(F.percentile_approx("badness", [max(0.0, share - 0.01), min(1.0, share + 0.01)], 1000)).first()[0]
+        under, upto = values.agg(F.count_if(F.col("badness") < a), F.count_if(F.col("badness") <= b)).first()
+        if (a, b) == (low, high) or not under <= k < upto:
+            break
+        low, high, before = a, b, under
+    middle = low
+    if n and low < high:
+        middle = values.filter(F.col("badness").between(low, high)).orderBy("badness").offset(k - before).limit(1).first()[0]
+    return scored.sparkSession.createDataFrame([(least, middle, most)] if n else [], "least double, middle double, most double")
 
 
 def best_next(edges: DataFrame, scored: DataFrame) -> DataFrame:

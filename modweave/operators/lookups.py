@@ -59,21 +59,46 @@ def project_use_symbols(imports: DataFrame, from_config: str, to_config: str) ->
     return _between(imports, from_config, to_config).groupBy("exporter_path", "symbol_name").agg(F.sort_array(F.collect_set("importer_path")).alias("importers"))
 
 
-def symbol_usage(imports: DataFrame, config: str, name: str) -> DataFrame:
-    """(exporter_path, importer_path): importers of a name that a project exports."""
-    return imports.filter((F.col("exporter_tsconfig") == config) & (F.col("symbol_name") == name)).select("exporter_path", "importer_path").distinct()
+def project_folder(project: str) -> str:
+    """The folder of a project, which is named by it or by its configuration."""
+    return project.rsplit("/", 1)[0] if project.endswith(".json") else project
 
 
-def trace_imports(imports: DataFrame, folder: str, from_config: str | None = None) -> DataFrame:
-    """(exporter_path, symbols): what the files of a folder import, optionally of one project."""
-    rows = resolved(imports).filter(within("importer_path", folder))
-    rows = rows if from_config is None else rows.filter(F.col("exporter_tsconfig") == from_config)
+def symbol_usage(imports: DataFrame, project: str, name: str) -> DataFrame:
+    """(exporter_path, importer_path): importers of a name that a project (folder or configuration) exports."""
+    return imports.filter(within("exporter_path", project_folder(project)) & (F.col("symbol_name") == name)).select("exporter_path", "importer_path").distinct()
+
+
+def imports_from(imports: DataFrame, path: str) -> DataFrame:
+    """All imports of a file, unresolved ones too."""
+    return imports.filter(F.col("importer_path") == path)
+
+
+def reexports_of(reexports: DataFrame, path: str) -> DataFrame:
+    """What a file exports again."""
+    return reexports.filter(F.col("path") == path)
+
+
+def reexports_named(reexports: DataFrame, name: str) -> DataFrame:
+    """Who exports a name again."""
+    return reexports.filter(F.col("symbol_name") == name)
+
+
+def _traced(imports: DataFrame, start: str) -> DataFrame:
+    """Resolved imports of a file, or of the files of a folder."""
+    return resolved(imports).filter((F.col("importer_path") == start) | within("importer_path", start))
+
+
+def trace_imports(imports: DataFrame, start: str, from_project: str | None = None) -> DataFrame:
+    """(exporter_path, symbols): what a file, or the files of a folder, import, optionally of one project (folder or configuration)."""
+    rows = _traced(imports, start)
+    rows = rows if from_project is None else rows.filter(within("exporter_path", project_folder(from_project)))
     return rows.groupBy("exporter_path").agg(F.sort_array(F.collect_set("symbol_name")).alias("symbols"))
 
 
-def trace_total(imports: DataFrame, folder: str) -> DataFrame:
+def trace_total(imports: DataFrame, start: str) -> DataFrame:
     """(exporters, symbols): totals of :func:`trace_imports`."""
-    rows = resolved(imports).filter(within("importer_path", folder)).select("exporter_path", "symbol_name").distinct()
+    rows = _traced(imports, start).select("exporter_path", "symbol_name").distinct()
     return rows.groupBy("exporter_path").agg(F.count("*").alias("n")).agg(F.count("*").alias("exporters"), F.coalesce(F.sum("n"), F.lit(0)).alias("symbols"))
 
 
@@ -148,11 +173,12 @@ def reexport_counts(imports: DataFrame, reexports: DataFrame) -> DataFrame:
     return reexports.join(named, ["path", "symbol_name"], "left").groupBy("path").agg(F.count("*").alias("total"), F.count_if("public").alias("public"), F.count_if(F.col("used").isNull() & ~F.col("public")).alias("unused"))
 
 
-def users_of_types(imports: DataFrame, names: list[str], include_definers: bool = False) -> DataFrame:
-    """Files that import any of the names, without the files that define them unless asked for."""
-    rows = resolved(imports).filter(F.col("symbol_name").isin(names))
+def users_of_types(imports: DataFrame, names: list[str], include_definers: bool = False, folder: str | None = None) -> DataFrame:
+    """Files (of a folder) that import any of the names, packages' too, without the files that define them for these importers, unless asked for."""
+    rows = imports.filter(F.col("symbol_name").isin(names))
+    rows = rows if folder is None else rows.filter(within("importer_path", folder))
     users = rows.select(F.col("importer_path").alias("path")).distinct()
-    return users if include_definers else users.join(rows.select(F.col("exporter_path").alias("path")).distinct(), "path", "left_anti")
+    return users if include_definers else users.join(resolved(rows).select(F.col("exporter_path").alias("path")).distinct(), "path", "left_anti")
 
 
 def only_used_by(uses: DataFrame, symbols: list[str]) -> DataFrame:

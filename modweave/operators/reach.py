@@ -13,7 +13,7 @@ def hop_distance(edges: DataFrame, sources: DataFrame, limit: int | None = None)
     Semi-naive: every round joins only the newest nodes with the edges, and keeps those not seen
     before. ``limit`` bounds the hops.
     """
-    e = edges.select("src", "dst").distinct()
+    e = cut(edges.select("src", "dst").repartition("src").distinct())
     seen = cut(sources.select("node").filter("node IS NOT NULL").distinct().withColumn("hops", F.lit(0)))
     k, grown = 0, not seen.isEmpty()
     while grown and (limit is None or k < limit):

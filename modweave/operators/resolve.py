@@ -67,6 +67,23 @@ def resolve_specifiers(imports: DataFrame, files: DataFrame, configs: DataFrame)
     return ids.join(near, "_id", "left").join(far, "_id", "left").withColumn("exporter_path", F.coalesce("relative", "aliased")).drop("_id", "relative", "aliased")
 
 
+def relative_to(path: Column, importer: Column) -> Column:
+    """Relative specifier of a module from an importer, without extension."""
+    a, b = F.split(path, "/"), F.split(importer, "/")
+    shorter = F.least(F.size(a), F.size(b)) - 1
+    same = F.aggregate(F.sequence(F.lit(0), shorter - 1), F.struct(F.lit(True).alias("on"), F.lit(0).alias("n")), lambda s, i: F.struct((s["on"] & (F.get(a, i) == F.get(b, i))).alias("on"), (s["n"] + (s["on"] & (F.get(a, i) == F.get(b, i))).cast("int")).alias("n")))["n"]
+    up = F.repeat(F.lit("../"), F.size(b) - 1 - same)
+    down = F.regexp_replace(F.array_join(F.slice(a, same + 1, F.size(a) - same), "/"), r"\.ts$", "")
+    return F.concat(F.when(up == "", "./").otherwise(up), down)
+
+
+def specifier_for(uses: DataFrame, configs: DataFrame) -> DataFrame:
+    """``uses`` (path, importer_path, tsconfig of the importer) with ``spec``: :func:`specifier_of`, else relative if both lie in the project, else null."""
+    folder = F.concat(dirname("tsconfig"), F.lit("/"))
+    inside = F.col("path").startswith(folder) & F.col("importer_path").startswith(folder)
+    return specifier_of(uses, configs).withColumn("spec", F.coalesce("spec", F.when(inside, relative_to(F.col("path"), F.col("importer_path")))))
+
+
 def specifier_of(paths: DataFrame, configs: DataFrame) -> DataFrame:
     """``paths`` (path, tsconfig) with ``spec``: by the first alias whose target holds the path, without extension; else null."""
     named = paths.select("path", "tsconfig").distinct().join(aliases(configs), "tsconfig").filter(F.col("path").startswith(F.concat("target", F.lit("/"))))

@@ -68,9 +68,9 @@ def tarjan(edges: list[tuple]) -> dict:
                 if work:
                     low[work[-1][0]] = min(low[work[-1][0]], low[node])
                 if low[node] == index[node]:
-                    at = path.index(node) if len(path) < 64 else len(path) - 1 - path[::-1].index(node)
-                    members = path[at:]
-                    del path[at:]
+                    members = [path.pop()]
+                    while members[-1] != node:
+                        members.append(path.pop())
                     on_path.difference_update(members)
                     root.update(dict.fromkeys(members, min(members)))
             elif child not in index:

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from modweave.functions.paths import relative_import
+from modweave.functions.text import source_text, with_script
 from modweave.operators.lookups import unused_reexports
 from modweave.plans import rewrites
 from modweave.plans.model import Change, Plan, now, plan_of_edits, text_checksum
@@ -18,15 +19,20 @@ EDITS = "path string, old string, new string"
 
 
 def _edited(rows: DataFrame, run, columns: list[str]) -> DataFrame:
-    """(path, old, new) of files whose text changes; ``run`` takes the text and the columns."""
+    """(path, old, new) of files whose text changes; ``run`` takes the text and the columns.
+
+    Of a ``.vue`` file only the script is edited, and put back into its markup.
+    """
 
     def each(frames):
         for f in frames:
-            new = [run(*values) for values in zip(f["content"], *(f[c] for c in columns), strict=True)]
+            new = [None if values[0] is None else run(*values) for values in zip(f["script"], *(f[c] for c in columns), strict=True)]
             out = pd.DataFrame({"path": f["path"], "old": f["content"], "new": new})
-            yield out[out["new"].notna() & (out["new"] != out["old"])]
+            yield out[out["new"].notna() & (out["new"] != f["script"])]
 
-    return rows.select("path", "content", *columns).mapInPandas(each, EDITS)
+    edited = rows.select("path", "content", source_text("path", "content").alias("script"), *columns).mapInPandas(each, EDITS)
+    whole = F.when(F.col("path").endswith(".vue"), with_script("old", "new")).otherwise(F.col("new"))
+    return edited.select("path", "old", whole.alias("new"))
 
 
 def _in(files: DataFrame, folder: str) -> DataFrame:

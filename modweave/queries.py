@@ -298,11 +298,15 @@ def leaf_distance(f: Facts):
     return _kinds(f)
 
 
+#: Bit n-1-k says that leaf k is in A, as the first is; the least string of bits wins a tie, and all ones would leave B empty.
+_SIDES = """masks AS (SELECT mask + CAST(pow(2, n - 1) AS BIGINT) AS mask FROM (SELECT max(n) AS n, unnest(range(CAST(pow(2, max(n) - 1) AS BIGINT) - 1)) AS mask FROM i)),
+best AS (SELECT mask, sum(CASE WHEN ((mask >> (n - 1 - i)) & 1) <> ((mask >> (n - 1 - j)) & 1) THEN h ELSE 0 END) AS total FROM masks, pairs GROUP BY 1 ORDER BY total DESC, mask LIMIT 1)
+SELECT leaf, CASE WHEN ((mask >> (n - 1 - k)) & 1) = 1 THEN 'A' ELSE 'B' END AS side FROM i, best)"""
+
+
 @query(f"""SELECT leaf, side FROM (WITH d AS ({_HOPS}), i AS (SELECT a AS leaf, row_number() OVER (ORDER BY a) - 1 AS k, count(*) OVER () AS n FROM d WHERE a = b),
 pairs AS (SELECT x.k AS i, y.k AS j, x.n AS n, coalesce(hops, 0) AS h FROM d JOIN i x ON x.leaf = d.a JOIN i y ON y.leaf = d.b WHERE d.a < d.b),
-masks AS (SELECT unnest(range(CAST(pow(2, (SELECT greatest(max(n), 1) FROM i) - 1) AS BIGINT))) AS mask),
-best AS (SELECT mask, sum(CASE WHEN ((mask >> (n - 1 - i)) & 1) <> ((mask >> (n - 1 - j)) & 1) THEN h ELSE 0 END) AS total FROM masks, pairs GROUP BY 1 ORDER BY total DESC, mask LIMIT 1)
-SELECT leaf, CASE WHEN ((mask >> (n - 1 - k)) & 1) = 1 THEN 'B' ELSE 'A' END AS side FROM i, best)""", "")
+{_SIDES}""", "")
 def leaf_partition(f: Facts):
     return dag.leaf_partition(_kinds(f))
 

@@ -57,6 +57,55 @@ def test_queries(ix):
     assert "Dependents -> Dependencies" in C.coupling(ix, "/r/src/c.ts")
 
 
+def test_commands_over_files_folders_and_packages(ix):
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(C.trace_imports(ix, "/r/src/a.ts")) == [("/r/src/b.ts", ["b"]), ("/r/src/lib/index.ts", ["thing"])]
+    assert rows(C.trace_imports(ix, "/r/other")) == rows(C.trace_imports(ix, "/r/other/o.ts")) == [("/r/src/a.ts", ["a"]), ("/r/src/c.ts", ["Shape"])]
+    assert rows(C.trace_imports(ix, "/r/src/a.ts", "/r/src/lib")) == [("/r/src/lib/index.ts", ["thing"])]
+    assert rows(C.symbol_usage(ix, "/r/src", "a")) == rows(C.symbol_usage(ix, "/r/tsconfig.json", "a")) == [("/r/src/a.ts", "/r/other/o.ts"), ("/r/src/a.ts", "/r/src/v.vue")]
+    assert rows(C.symbol_usage(ix, "/r/other", "a")) == []
+    assert C.type_leaf_usage(ix, "/r/src", ["default"]) == ["/r/src/v.vue"]  # from a package
+    assert C.cyclic_modules(ix, ["/r/src/a.ts"]) == ["/r/src/b.ts", "/r/src/c.ts"]
+    assert C.import_chain(ix, "/r/src/b.ts", "/r/src/c.ts") == ["/r/src/b.ts", "/r/src/c.ts"]
+    assert C.outline_summary(ix, "/r/src/a.ts").split("\n")[1].startswith("Summary: 2 import")
+    assert rows(lookups.imports_from(ix.imports, "/r/src/v.vue").select("symbol_name", "exporter_path")) == [("a", "/r/src/a.ts"), ("default", None)]
+    assert {r["path"] for r in lookups.reexports_named(ix.tables["reexports"], "unused").collect()} == {"/r/src/lib/index.ts"}
+    assert lookups.reexports_of(ix.tables["reexports"], "/r/src/lib/index.ts").count() == 2
+
+
+def test_scripts_in_markup_are_edited_in_place(spark):
+    page = "<template>\n  <p>`not code` import x from './c'</p>\n</template>\n<script lang=\"ts\">\nimport { c } from './c';\nimport { thing } from './lib';\nexport const v = c + thing;\n</script>\n<style>a{}</style>\n"
+    ix = C.index(S.in_memory(spark, REPO | {"/r/src/page.vue": page}), "/r")
+    moved = {c.path: c for c in C.move(ix, "/r/src/c.ts", "/r/src/deep/c.ts").changes}
+    assert moved["/r/src/page.vue"].content == page.replace("{ c } from './c'", "{ c } from './deep/c'")
+    direct = {c.path: c for c in C.propose_import_directly(ix, "/r").changes}
+    assert direct["/r/src/page.vue"].content == page.replace("'./lib'", "'./lib/impl'")
+
+
+def test_version_control_hears_of_moves(spark, tmp_path):
+    import subprocess
+
+    for p, t in REPO.items():
+        (tmp_path / p[1:]).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p[1:]).write_text(t)
+    root = str(tmp_path / "r")
+    git = lambda *a: subprocess.run(["git", "-C", root, *a], capture_output=True, text=True, check=True).stdout
+    git("init", "-q")
+    git("add", "-A")
+    git("-c", "user.name=n", "-c", "user.email=e@x", "commit", "-qm", "first")
+    C.run(spark, ["mv", "src/c.ts", "src/deep/c.ts"], root)
+    assert "R  src/c.ts -> src/deep/c.ts" in git("status", "--porcelain").replace("RM", "R ")
+    assert (tmp_path / "r/src/deep/c.ts").read_text().startswith("import { b } from '../b';")
+    assert not (tmp_path / "r/src/c.ts").exists()
+
+
+def test_relative_fallback_inside_a_project(spark):
+    configs = spark.createDataFrame([("/r/tsconfig.json", {"@/*": ["src/*"]}, None, None)], "path string, paths map<string,array<string>>, base_url string, root_dir string")
+    uses = [("/r/src/q.ts", "/r/lib/a.ts"), ("/r/lib/x/q.ts", "/r/lib/a.ts"), ("/r/top.ts", "/r/lib/x/a.ts"), ("/z/q.ts", "/r/lib/a.ts")]
+    got = resolve.specifier_for(spark.createDataFrame([(p, i, "/r/tsconfig.json") for p, i in uses], "path string, importer_path string, tsconfig string"), configs)
+    assert {(r["path"], r["importer_path"]): r["spec"] for r in got.collect()} == dict(zip(uses, ["@/q", "./x/q", "../../top", None], strict=True))
+
+
 def test_proposals(ix):
     direct = C.propose_import_directly(ix, "/r")
     assert [(c.path, c.content.split("\n")[1]) for c in direct.changes] == [("/r/src/a.ts", "import { thing } from './lib/impl';")]
@@ -116,6 +165,9 @@ def test_disk_scan_and_command_line(spark, tmp_path):
     assert C.run(spark, ["imports", "src/a.ts"], root) == "other/o.ts\nsrc/v.vue"
     assert "src/b.ts" in C.run(spark, ["cycles", "."], root)
     assert C.run(spark, ["cycles", ".", "--graphviz"], root).startswith("digraph ModuleCycles")
+    assert C.run(spark, ["tsort", "src/a.ts"], root) == "There is a cycle among:\nsrc/b.ts\nsrc/c.ts"
+    assert C.run(spark, ["trace-imports", "other/o.ts"], root).split("\n")[0].endswith("src/a.ts\ta")
+    assert C.run(spark, ["outline", "src/a.ts", "--verbose"], root).startswith("# src/a.ts\nSummary: 2 import, ")
 
 
 def test_resolution(spark):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from modweave.operators import dag, hot, reach, scc
 from modweave.operators.components import connected_components
-from modweave.operators.coupling import analyse
+from modweave.operators.coupling import analyse, partition
 
 
 def pairs(df):
@@ -81,6 +81,57 @@ def test_leaf_distances_and_partition(spark):
     assert dict(pairs(dag.leaf_partition(one))) == {1: "A"}
 
 
+@pytest.mark.parametrize(("names", "hops", "first"), [("abc", 2, "a"), ("abc", None, "a"), ("abcd", 2, "ad"), ("ab", None, "a")])
+def test_partition_ties_go_to_the_least_string(spark, names, hops, first):
+    rows = [(a, b, 0 if a == b else hops) for a in names for b in names]
+    sides = dict(pairs(dag.leaf_partition(spark.createDataFrame(rows, "a string, b string, hops int"))))
+    assert sides == {n: "A" if n in first else "B" for n in names}
+    assert partition(list(names), {(a, b): h or 0 for a, b, h in rows}) == ([n for n in names if n in first], [n for n in names if n not in first])
+
+
+def test_greedy_sides_follow_the_rule():
+    random.seed(4)
+    far = {(i, j): random.randrange(6) for i in range(23) for j in range(i + 1, 23)}
+    d = lambda i, j: far[min(i, j), max(i, j)]
+    got = dag.greedy_sides(23, d)
+    score = lambda sides: sum(k for (i, j), k in far.items() if sides[i] != sides[j])
+    seed = max(range(1, 23), key=lambda j: (d(0, j), -j))
+    want = ["A"] + ["B"] * 22
+    for i in range(1, 23):
+        if i != seed:
+            want = max([want[:i] + ["A"] + want[i + 1 :], want[:i] + ["B"] + want[i + 1 :]], key=score)
+    assert got == want
+
+
+def test_depths_refuse_cycles(spark):
+    dag_ = spark.createDataFrame([(1, 2), (2, 1), (3, 1), (3, 4)], "src_scc long, dst_scc long")
+    nodes = spark.createDataFrame([(1,), (2,), (3,), (4,)], "scc_id long")
+    with pytest.raises(dag.GraphError):
+        dag.depths(dag_, nodes)
+    with pytest.raises(dag.GraphError):
+        dag.depths(spark.createDataFrame([(1, 1)], "src_scc long, dst_scc long"), nodes)
+
+
+def test_deep_trees_are_listed_whole():
+    n = 120
+    lines = dag.render_tree([(f"n{i:03}", f"n{i + 1:03}") for i in range(n)], ["n000"]).split("\n")
+    assert [x.strip() for x in lines] == [f"n{i:03}:" for i in range(n)] + [f"n{n:03}."]
+
+
+def test_spread_is_exact(monkeypatch, spark):
+    random.seed(6)
+    monkeypatch.setattr(hot, "SORTED", 10)
+    for values in ([random.random() for _ in range(3001)], [1.0] * 50 + [2.0] * 51, [5.0], [3.0, 1.0]):
+        got = hot.spread(spark.createDataFrame([(v,) for v in values], "badness double")).first()
+        assert tuple(got) == (min(values), sorted(values)[len(values) // 2], max(values))
+    assert hot.spread(spark.createDataFrame([], "badness double")).count() == 0
+
+
+def test_components_of_long_rings():
+    ring = [(i, (i + 1) % 50000) for i in range(50000)]
+    assert set(scc.tarjan(ring).values()) == {0}
+
+
 def test_partition_beyond_the_exact_limit_is_greedy(spark):
     names = range(24)
     rows = [(a, b, 0 if a == b else 1 + (a + b) % 5) for a in names for b in names]
@@ -108,11 +159,24 @@ def test_path_counts_and_chain(spark):
     weighted = spark.createDataFrame([("a", "b", 1), ("a", "c", 2), ("b", "d", 1), ("c", "d", 1)], "src string, dst string, names long")
     counts = {r["node"]: int(r["paths"]) for r in dag.path_counts(weighted, "d").collect()}
     assert counts == {"d": 1, "b": 1, "c": 1, "a": 3}
-    plain = [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d")]
-    assert dag.import_chain(plain, counts, "a", "d") == ["a", "b", "d"]
-    assert dag.import_chain(plain, {"x": 1}, "a", "x") == ["a"]
+    plain = [("a", "b", 2), ("a", "c", 1), ("b", "d", 2), ("b", "c", 1), ("c", "d", 1)]
+    assert dag.import_chain(plain, "a", "d") == ["a", "c", "d"]
+    assert dag.import_chain([(a, b, 1) for a, b, _ in plain], "a", "d") == ["a", "c", "d"]
+    assert dag.import_chain([("a", "b", 1), ("a", "c", 1), ("b", "d", 1), ("c", "d", 1)], "a", "d") == ["a", "b", "d"]
+    assert dag.import_chain(plain, "a", "x") == ["a"]
     with pytest.raises(dag.GraphError):
-        dag.import_chain(plain, counts, "a", "a")
+        dag.import_chain(plain, "a", "a")
+    with pytest.raises(dag.GraphError, match="cycle"):
+        dag.path_counts(spark.createDataFrame([("a", "b", 1), ("b", "a", 1), ("b", "t", 1)], "src string, dst string, names long"), "t")
+
+
+def test_import_chain_inside_cycles():
+    loop = [("a", "b", 1), ("b", "a", 1), ("b", "t", 1)]
+    assert dag.import_chain(loop, "a", "b") == ["a", "b"]
+    assert dag.import_chain(loop, "a", "t") == ["a", "b", "t"]
+    assert dag.import_chain(loop, "b", "t") == ["b", "t"]
+    # a opens b, which opens c; from c, a is open and has no way, so c goes by t alone
+    assert dag.import_chain([("a", "b", 1), ("b", "c", 1), ("c", "a", 1), ("c", "t", 1), ("b", "t", 3)], "a", "t") == ["a", "b", "c", "t"]
 
 
 def test_reachability(edges, spark):
