@@ -51,14 +51,29 @@ def module_facts(f: Facts):
     return kinds.unionByName(f.reexports().select(F.lit("reexports").alias("fact"))).unionByName(f.needs().filter("nodejs").select(F.lit("needs").alias("fact"))).groupBy("fact").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT DISTINCT importer_path FROM imports WHERE exporter_path = '{_path(4)}'")
+@query(f"SELECT DISTINCT importer_path FROM imports WHERE exporter_path = '{_path(1)}'")
 def importers_of(f: Facts):
-    return lookups.importers_of(f.imports(), _path(4))
+    return lookups.importers_of(f.imports(), _path(1))
 
 
-@query(f"SELECT importer_path FROM imports WHERE exporter_path = '{_path(4)}' AND symbol_name = 'sym4'")
+@query(f"SELECT importer_path FROM imports WHERE exporter_path = '{_path(5)}' AND symbol_name IN ('sym40', 'sym1')")
 def importers_of_symbol(f: Facts):
-    return lookups.importers_of_symbol(f.imports(), _path(4), "sym4")
+    return lookups.importers_of_symbol(f.imports(), _path(5), "sym40").union(lookups.importers_of_symbol(f.imports(), _path(5), "sym1"))
+
+
+@query(f"SELECT importer_path, exporter_path, symbol_name, exporter_spec FROM imports WHERE importer_path = '{_path(101)}'")
+def imports_from(f: Facts):
+    return lookups.imports_from(f.imports(), _path(101)).select("importer_path", "exporter_path", "symbol_name", "exporter_spec")
+
+
+@query("SELECT path, symbol_name, module_spec FROM reexports WHERE symbol_name = 'sym3'")
+def reexports_named(f: Facts):
+    return lookups.reexports_named(f.reexports(), "sym3").select("path", "symbol_name", "module_spec")
+
+
+@query(f"SELECT path, symbol_name, module_spec FROM reexports WHERE path = '{_path(3)}'")
+def reexports_of(f: Facts):
+    return lookups.reexports_of(f.reexports(), _path(3)).select("path", "symbol_name", "module_spec")
 
 
 @query(f"SELECT exporter_path, exporter_tsconfig, symbol_name FROM imports WHERE importer_path = '{_path(150)}' AND exporter_path IS NOT NULL")
@@ -89,6 +104,40 @@ def symbol_usage(f: Facts):
     return lookups.symbol_usage(f.imports(), _config(3), "sym9")
 
 
+@query("SELECT DISTINCT exporter_path, importer_path FROM imports WHERE starts_with(exporter_path, '/repo/pkg3/') AND symbol_name IN ('sym9', 'sym2')")
+def symbol_usage_folder(f: Facts):
+    return lookups.symbol_usage(f.imports(), "/repo/pkg3", "sym9").union(lookups.symbol_usage(f.imports(), "/repo/pkg3", "sym2")).distinct()
+
+
+@query(f"SELECT exporter_path, array_to_string(list_sort(list(DISTINCT symbol_name)), ',') AS symbols FROM imports WHERE importer_path = '{_path(101)}' AND exporter_path IS NOT NULL AND NOT starts_with(exporter_path, '/repo/pkg9/') GROUP BY 1")
+def trace_file(f: Facts):
+    return lookups.trace_imports(f.imports(), _path(101)).withColumn("symbols", F.array_join("symbols", ","))
+
+
+@query(f"SELECT exporter_path, array_to_string(list_sort(list(DISTINCT symbol_name)), ',') AS symbols FROM imports WHERE starts_with(importer_path, '/repo/pkg2/') AND starts_with(exporter_path, '/repo/pkg4/') GROUP BY 1")
+def trace_from_project(f: Facts):
+    return lookups.trace_imports(f.imports(), "/repo/pkg2", _config(4)).withColumn("symbols", F.array_join("symbols", ","))
+
+
+@query("SELECT DISTINCT importer_path AS path FROM imports WHERE symbol_name IN ('sym1', 'sym2') AND starts_with(importer_path, '/repo/pkg2/') AND importer_path NOT IN (SELECT exporter_path FROM imports WHERE symbol_name IN ('sym1', 'sym2') AND starts_with(importer_path, '/repo/pkg2/') AND exporter_path IS NOT NULL)")
+def type_users_in_folder(f: Facts):
+    return lookups.users_of_types(f.imports(), ["sym1", "sym2"], folder="/repo/pkg2")
+
+
+@query("""SELECT i.importer_path, i.exporter_path AS via, i.symbol_name, m.path AS original_path FROM imports i JOIN reexports r ON r.path = i.exporter_path AND r.symbol_name = i.symbol_name
+JOIN modules m ON m.key = CAST(substr(r.module_spec, 4) AS BIGINT) WHERE EXISTS (SELECT 1 FROM reexports x WHERE x.path = m.path AND x.symbol_name = i.symbol_name)""")
+def import_directly_originals(f: Facts):
+    found = lookups.direct_candidates(f.imports(), f.reexports()).withColumn("key", F.expr("cast(substring(module_spec, 4) as bigint)"))
+    known = found.join(f.modules().select("key", F.col("path").alias("original_path")), "key")
+    return lookups.exporting(known, f.reexports()).select("importer_path", "via", "symbol_name", "original_path")
+
+
+@query("SELECT path, CASE WHEN key % 6 = 2 AND key % 40 = 8 THEN '@near/m' || key WHEN key % 6 = 2 THEN '@two/d' || (key % 40) || '/m' || key END AS spec FROM modules")
+def aliased_specifiers(f: Facts):
+    configs = f.spark.createDataFrame([(_config(2), {"@near/*": ["d8/*"], "@two/*": ["./*"]})], "path string, paths map<string,array<string>>").withColumn("base_url", F.lit(None).cast("string")).withColumn("root_dir", F.lit(None).cast("string"))
+    return resolve.specifier_of(f.modules().select("path", "tsconfig"), configs).select("path", "spec")
+
+
 @query("SELECT DISTINCT exporter_path FROM imports WHERE symbol_name = 'sym11' AND starts_with(exporter_path, '/repo/pkg1/')")
 def grep_defs(f: Facts):
     return lookups.definitions(f.imports(), "/repo/pkg1", "sym11")
@@ -394,17 +443,23 @@ def checksum_validate(f: Facts):
     return validate_checksums(planned, docs.filter("doc_id % 5 <> 0").select("path", "content")).groupBy("state").agg(F.count("*").alias("n"))
 
 
-@query("SELECT a.doc_id, CAST(len(string_split(a.text, chr(10))) AS INTEGER) AS lines, CAST(len(string_split(b.text, chr(10))) - len(string_split(a.text, chr(10))) AS INTEGER) AS delta FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1", "")
+@query("""SELECT path, type, CAST(lines AS INTEGER) AS lines, CAST(lines - coalesce(before, 0) AS INTEGER) AS delta FROM (SELECT CAST(b.doc_id AS VARCHAR) AS path, CASE WHEN b.doc_id % 5 = 0 THEN 'delete-file' WHEN b.doc_id % 7 = 0 THEN 'create-file' ELSE 'modify-file' END AS type,
+CASE WHEN b.doc_id % 5 = 0 THEN 0 ELSE len(string_split(a.text, chr(10))) END AS lines, CASE WHEN b.doc_id % 7 <> 0 OR b.doc_id % 5 = 0 THEN len(string_split(b.text, chr(10))) END AS before FROM documents a JOIN documents b ON a.doc_id = b.doc_id + 1)""", "")
 def change_stats(f: Facts):
-    docs = f.table("documents").select("doc_id", text.line_count("text").alias("lines"))
-    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("lines").alias("after"))
-    return docs.join(after, "doc_id").select("doc_id", "lines", (F.col("after") - F.col("lines")).alias("delta"))
+    from modweave.plans.model import stats
 
+    docs = f.table("documents").select("doc_id", "text")
+    kind = F.when(F.col("doc_id") % 5 == 0, "delete-file").when(F.col("doc_id") % 7 == 0, "create-file").otherwise("modify-file")
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("content")).join(docs.select("doc_id"), "doc_id")
+    changed = after.select(F.col("doc_id").cast("string").alias("path"), kind.alias("type"), "content")
+    files = docs.filter("doc_id % 7 <> 0 OR doc_id % 5 = 0").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    return stats(changed, files)
 
-@query("SELECT doc_id FROM documents WHERE NOT contains(lower(text), 'license')", "")
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 4 <> 0", "")
 def generated_filter(f: Facts):
-    docs = f.table("documents")
-    return docs.filter(~text.is_generated("text") & ~F.lower("text").contains("license")).select("doc_id")
+    code = F.when(F.col("doc_id") % 4 == 0, "/* made by a tool\n @generated */\n").when(F.col("doc_id") % 4 == 1, "const s = '@generated';\n").otherwise("let x; // plain\n")
+    return f.table("documents").select("doc_id", code.alias("text")).filter(~text.is_generated("text")).select("doc_id")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'new' ELSE 'changed' END AS state FROM documents WHERE doc_id % 7 = 0 OR doc_id % 3 = 0", "")
