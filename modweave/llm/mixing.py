@@ -26,8 +26,8 @@ from modweave.runtime import cut
 BUCKETS, PRIOR = 1 << 18, 1.0
 #: Factors up to this are no evidence: many common words repeat each other's small leanings, as towards a language.
 LIFT = 3.0
-#: Newton steps that calibrate the posteriors, and the weight that holds their parameters.
-ROUNDS, RIDGE = 12, 1.0
+#: Newton steps at most that calibrate the posteriors, the step that ends them, and the weight that holds their parameters.
+ROUNDS, SETTLED, RIDGE = 12, 1e-3, 1.0
 #: About so many labelled rows train it, picked by a hash of their id.
 SAMPLE_ROWS = 16_000
 #: Posteriors within a cell of this grid are summed, with their mean, before the steps.
@@ -122,6 +122,8 @@ def _calibrated(classifier: Classifier, rows: DataFrame, steps: int = ROUNDS) ->
             value, step = [(a + b) / 2 for a, b in zip(value, last[1], strict=True)], None
         else:
             last = (loss, value)
+            if np.abs(step).max() < SETTLED:
+                break
             value = [a - float(np.clip(b, -2, 2)) for a, b in zip(value, step, strict=True)]
         value[-1] = max(value[-1], 0.01)
     return last[1][:-1], last[1][-1]
