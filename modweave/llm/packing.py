@@ -10,21 +10,36 @@ take lengths that are powers of two, which need no padding.
 from __future__ import annotations
 
 import array
+import re
 import zlib
+from collections import defaultdict
+from collections.abc import Callable, Collection, Iterator
+from itertools import chain, compress, count, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-#: Entries of an encoder's two caches, after which each starts anew.
+#: Entries of an encoder's two caches, beyond which only those used most are kept.
 CACHE_CHUNKS, CACHE_PARTS = 500_000, 500_000
+#: Bytes of text that are looked up at once.
+GROUP_BYTES = 1 << 20
 #: Tokens that a task holds before it packs them.
 BUFFER_TOKENS = 1_000_000
 
-_SIMPLE = regex.compile(r"[!-~¡-ÿ]+")
-_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_OTHER = re.compile(r"[^\n!-~¡-ÿ]")
+
+
+def _parts_pattern() -> re.Pattern[str]:
+    """The tokenizer's split for Latin-1 text, and line feeds."""
+    letters, digits = ("".join(c for c in map(chr, range(256)) if regex.match(kind, c)) for kind in (r"\p{L}", r"\p{N}"))
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^\s{letters}{digits}]+|\n")
+
+
+_PARTS = _parts_pattern()
 
 
 def _byte_letters() -> dict[int, str]:
@@ -34,73 +49,107 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in kept} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-class Encoder(dict):
+class Table:
+    """Token ids of strings, each computed once and kept while it is used.
+
+    ``learn`` takes new strings and returns all their ids, and where each string's ids stop.
+    """
+
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int):
+        self.learn, self.most = learn, most
+        self.clear()
+
+    def clear(self) -> None:
+        self._keep([], np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def _keep(self, keys: list[str], ids: np.ndarray, stops: np.ndarray, uses: np.ndarray) -> None:
+        self.rows = defaultdict(count(len(keys)).__next__, zip(keys, range(len(keys)), strict=True))  # a new string gets the next number
+        self.ids, self.starts, self.uses = array.array("I", ids.tobytes()), array.array("q", [0]), uses
+        self.starts.frombytes(stops.tobytes())
+
+    def _trim(self) -> None:
+        """Keep at most the half that is used most, if there are too many."""
+        if len(self.rows) != len(self.uses):  # a task failed before the ids were there
+            self.clear()
+        if len(self.rows) > self.most or len(self.ids) > 16 * self.most:
+            good = self.uses > np.partition(self.uses, len(self.uses) // 2)[len(self.uses) // 2]
+            self._keep(list(compress(self.rows, good.tolist())), *self.take(np.flatnonzero(good)), self.uses[good] // 2)
+            if len(self.ids) > 8 * self.most:
+                self.clear()
+
+    def find(self, keys: Collection[str]) -> np.ndarray:
+        """The rows of strings, for ``take``; they hold until the next call."""
+        self._trim()
+        known = len(self.rows)
+        rows = np.fromiter(map(self.rows.__getitem__, keys), np.int64, len(keys))
+        if fresh := list(islice(reversed(self.rows), len(self.rows) - known)):
+            ids, stops = self.learn(fresh[::-1])
+            self.starts.frombytes((stops + len(self.ids)).tobytes())
+            self.ids.frombytes(ids.tobytes())
+            self.uses = np.concatenate([self.uses, np.zeros(len(fresh), np.int64)])
+        self.uses += np.bincount(rows, minlength=len(self.uses))
+        return rows
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of rows, and where each row's ids stop."""
+        starts, ids = np.frombuffer(self.starts, np.int64), np.frombuffer(self.ids, np.uint32) if self.ids else np.zeros(0, np.uint32)
+        first = starts[rows]
+        size = starts[rows + 1] - first
+        stops = np.cumsum(size)
+        return ids[np.repeat(first - stops + size, size) + np.arange(size.sum())], stops
+
+
+class Encoder:
     """Token ids by a tokenizer file, with the ids of each run without ASCII white space cached.
 
     The tokenizer never joins text across white space, so a document's ids are those of its
     runs. Runs of Latin-1 letters and signs are split and given to the BPE model directly; any
-    others go through the whole tokenizer.
+    others go through the whole tokenizer. Texts are looked up in groups, each different run once.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer, self.letters = Tokenizer.from_file(path), _byte_letters()
+        del self.letters[ord("\n")]  # ends a run or a part here
         self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.clear()
-        self._forget_parts()
-
-    def clear(self) -> None:
-        super().clear()
-        self.flat, self.starts = array.array("I"), array.array("q", [0])
-
-    def _forget_parts(self) -> None:
-        self.parts: dict[str, int] = {}  # start of the ids in ``part_ids``, shifted, and their number
-        self.part_ids = array.array("I")
-
-    def _part(self, part: str) -> int:
-        if len(self.parts) > CACHE_PARTS:
-            self._forget_parts()
-        ids = [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]
-        if len(ids) >= 1 << 12:  # too long to be worth keeping
-            self.flat.extend(ids)
-            return 0
-        at = self.parts[part] = len(self.part_ids) << 12 | len(ids)
-        self.part_ids.extend(ids)
-        return at
-
-    def __missing__(self, chunk: bytes) -> int:
-        text = chunk.decode()
-        if _SIMPLE.fullmatch(text) and not any(s in text for s in self.special):
-            for part in _PARTS.findall(text.lower()):
-                at = self.parts.get(part) or self._part(part)
-                self.flat.extend(self.part_ids[at >> 12 : (at >> 12) + (at & 4095)])
-        else:
-            self.flat.extend(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        at = self[chunk] = len(self.starts) - 1
-        self.starts.append(len(self.flat))
-        return at
-
-    def encode(self, texts: list[bytes], end: int) -> list[np.ndarray]:
+        self.chunks, self.parts = Table(self._learn_chunks, CACHE_CHUNKS), Table(self._learn_parts, CACHE_PARTS)
+
+    def _learn_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lines = "\n".join("" if p == "\n" else p for p in parts).encode().decode("latin-1").translate(self.letters)
+        found = [[t.id for t in self.model.tokenize(line)] for line in lines.split("\n")]
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.cumsum([len(ids) for ids in found])
+
+    def _learn_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        text, whole = "\n".join(chunks), {}
+        if _OTHER.search(text) or any(s in text for s in self.special):
+            whole = {k: self.tokenizer.encode(c, add_special_tokens=False).ids for k, c in enumerate(chunks) if _OTHER.search(c) or any(s in c for s in self.special)}
+            text = "\n".join("" if k in whole else c for k, c in enumerate(chunks))
+        parts = _PARTS.findall(text.lower() + "\n")
+        ids, stops = self.parts.take(self.parts.find(parts))
+        stops = stops[[k for k, part in enumerate(parts) if part == "\n"]]
+        if whole:
+            size = np.zeros(len(chunks), np.int64)
+            size[list(whole)] = [len(w) for w in whole.values()]
+            ids = np.insert(ids, np.repeat(stops, size), np.fromiter(chain.from_iterable(whole.values()), np.uint32))
+            stops = stops + np.cumsum(size)
+        return ids, stops
+
+    def encode(self, texts: pa.Array, end: int) -> Iterator[np.ndarray]:
         """ids of each text and the id ``end``."""
-        if len(self) > CACHE_CHUNKS or len(self.flat) > 16 * CACHE_CHUNKS:
-            self.clear()
-        out = []
-        for text in texts:
-            words = text.split()
-            at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-            starts, flat = np.frombuffer(self.starts, np.int64), np.frombuffer(self.flat, np.uint32) if self.flat else np.zeros(0, np.uint32)
-            first = starts[at]
-            size = starts[at + 1] - first
-            total = int(size.sum())
-            ids = np.empty(total + 1, np.uint32)
-            ids[:total] = flat[np.repeat(first - np.cumsum(size) + size, size) + np.arange(total)]
-            ids[total] = end
-            out.append(ids)
-            del starts, flat
-        return out
+        size = np.cumsum(pc.binary_length(texts).to_numpy())
+        at = 0
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(size, GROUP_BYTES + (size[at - 1] if at else 0), "right")))
+            runs = pc.ascii_split_whitespace(texts.slice(at, stop - at).cast(pa.string()))
+            words = runs.flatten().dictionary_encode()
+            rows = self.chunks.find(words.dictionary.to_numpy(zero_copy_only=False))
+            ids, stops = self.chunks.take(rows[words.indices.to_numpy()])
+            bounds = np.concatenate([[0], stops])[np.cumsum([0, *runs.value_lengths().to_numpy()])]
+            for a, b in pairwise(bounds.tolist()):
+                yield np.append(ids[a:b], np.uint32(end))
+            at = stop
 
 
 _encoders: dict[str, Encoder] = {}
@@ -192,7 +241,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         first = TaskContext.get().partitionId() << 40
         held: dict[int, tuple[object, np.ndarray]] = {}
         waiting: list[Piece] = []
-        made = count = tokens = 0
+        made = n_docs = tokens = 0
 
         def rows(sequences):
             nonlocal made
@@ -211,17 +260,16 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
         id_type = None
         for batch in batches:
-            id_type, names, texts = batch.schema.field(0).type, batch.column(0).to_pylist(), batch.column(1)
-            for k in range(0, len(names), 256):
-                for name, ids in zip(names[k : k + 256], enc.encode(texts.slice(k, 256).to_pylist(), end_id), strict=True):
-                    held[count] = (name, ids)
-                    waiting.append((count, 0, len(ids)))
-                    count, tokens = count + 1, tokens + len(ids)
-                    if tokens >= BUFFER_TOKENS:
-                        sequences, waiting = assign(waiting, size)
-                        yield rows(sequences)
-                        held = {d: held[d] for d, _, _ in waiting}
-                        tokens = sum(n for _, _, n in waiting)
+            id_type, names = batch.schema.field(0).type, batch.column(0).to_pylist()
+            for name, ids in zip(names, enc.encode(batch.column(1), end_id), strict=True):
+                held[n_docs] = (name, ids)
+                waiting.append((n_docs, 0, len(ids)))
+                n_docs, tokens = n_docs + 1, tokens + len(ids)
+                if tokens >= BUFFER_TOKENS:
+                    sequences, waiting = assign(waiting, size)
+                    yield rows(sequences)
+                    held = {d: held[d] for d, _, _ in waiting}
+                    tokens = sum(n for _, _, n in waiting)
         if waiting:
             sequences, waiting = assign(waiting, size)
             yield rows(sequences + finish(waiting, size))

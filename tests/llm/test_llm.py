@@ -5,8 +5,10 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -303,6 +305,59 @@ def test_packing_odd_rows(odd, empty):
     assert packing.pack(empty, tokenizer_path()).count() == 0
 
 
+def test_packing_looks_up_each_run_once(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHE_CHUNKS", 400)
+    monkeypatch.setattr(packing, "CACHE_PARTS", 400)
+    monkeypatch.setattr(packing, "GROUP_BYTES", 1000)
+    tokenizer, enc, asked = Tokenizer.from_file(tokenizer_path()), packing.Encoder(tokenizer_path()), Counter()
+
+    class Model:
+        def tokenize(self, part):
+            asked[part] += 1
+            return tokenizer.model.tokenize(part)
+
+    enc.model = Model()
+    random.seed(3)
+    common = [f"common{c}" for c in "abcdefghij"]
+    rare = ["".join(random.choices("abcdefgh", k=9)) for _ in range(8000)]
+    texts = [" ".join(random.sample([*common, *rare[k : k + 20]], 30)) for k in range(0, 8000, 20)]
+    for text, ids in zip(texts, enc.encode(pa.array([t.encode() for t in texts]), 2), strict=True):
+        assert ids.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+    assert len(enc.chunks.rows) < 1000
+    assert max(asked[w] for w in common) == 1  # the caches ran over many times, yet what is common stays
+
+
+def test_packing_of_mixed_runs_in_groups(monkeypatch):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    runs = ["a", "Don't", "x<|endoftext|>y", "<|startoftext|>", "中文字", "z\u00a0q", "\u0085", "\x1c", "\x00", "é", "e\u0301", "ª²", "İ", "ﬀ", "\u00ad", "'ll've", "#$%12", "長" * 5000, "w" * 5000, "😀", "\u3000"]
+    random.seed(4)
+    texts = ["".join(random.choice(runs) + random.choice([" ", "\n", "\t\r\x0b\x0c ", "", " \n"]) for _ in range(random.randrange(12))) for _ in range(300)]
+    texts = ["", " ", "\n a ", *texts, ""]
+    for most, size in ((500_000, 1 << 20), (10, 50), (10, 100_000)):
+        monkeypatch.setattr(packing, "CACHE_CHUNKS", most)
+        monkeypatch.setattr(packing, "CACHE_PARTS", most)
+        monkeypatch.setattr(packing, "GROUP_BYTES", size)
+        enc = packing.Encoder(tokenizer_path())
+        for _ in range(2):
+            got = list(enc.encode(pa.array([t.encode() for t in texts]), 2))
+            assert [ids.tolist() for ids in got] == [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
+def test_packing_after_a_failure():
+    enc = packing.Encoder(tokenizer_path())
+    texts = pa.array([b"harbour lights", b"harbour"])
+    want = [ids.tolist() for ids in packing.Encoder(tokenizer_path()).encode(texts, 2)]
+    model, enc.model = enc.model, None
+    with pytest.raises(AttributeError):
+        list(enc.encode(texts, 2))
+    enc.model = model
+    assert [ids.tolist() for ids in enc.encode(texts, 2)] == want
+
+
 def test_mixing_meets_reachable_targets(spark):
     q = [([0.9, 0.1], 500.0), ([0.2, 0.8], 300.0), ([0.5, 0.5], 200.0)]
     goals = [400.0, 600.0]
