@@ -9,12 +9,15 @@ into one table of code lengths, and a text is scored by two look-ups for each by
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from modweave.llm.bytegrams import ORDER, PAD, codes
+from modweave.runtime import give_back
 
 #: Training takes about so many documents of each language, picked by a hash of their id.
 SAMPLE_PER_LANG = 1500
@@ -109,7 +112,8 @@ class Model:
                 own = np.flatnonzero((starts < hi) & (ends > lo))
                 # the three steps that read padding as symbols belong to no text
                 edge = np.stack([np.clip(starts[own], lo, hi), np.clip(ends[own] - ORDER, lo, hi)], 1) - lo
-                rows = np.concatenate([self.bits[cell], np.zeros((1, len(self.langs)), np.float32)])
+                rows = np.zeros((len(cell) + 1, len(self.langs)), np.float32)
+                np.take(self.bits, cell, axis=0, out=rows[:-1], mode="clip")  # all cells are in range; only then no buffer is taken
                 sums = np.add.reduceat(rows, edge.ravel(), axis=0, dtype=np.float64)[::2]
                 out[k + own] += np.where((edge[:, 1] > edge[:, 0])[:, None], sums, 0)
             k = e
@@ -118,13 +122,42 @@ class Model:
 
 def _grams(batches):
     """(lang, gram, n): 4-byte grams of texts with a padded start, counted for each batch."""
+    give_back()
     for batch in batches:
-        by: dict[str, list[bytes]] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            by.setdefault(lang, []).append(text)
-        for lang, texts in by.items():
-            x, n = np.unique(codes(texts)[0], return_counts=True)
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(x), pa.string()), "gram": pa.array(x.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
+        yield from _counted(batch)
+        give_back()
+
+
+def _counted(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    by: dict[str, list[bytes]] = {}
+    for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        by.setdefault(lang, []).append(text)
+    for lang, texts in by.items():
+        x, n = np.unique(codes(texts)[0], return_counts=True)
+        yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(x), pa.string()), "gram": pa.array(x.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
+
+
+def _judge(model: Model, texts: pa.Array) -> pa.StructArray:
+    """(lang_pred, score, bits_per_byte) of each text; some texts at a time are taken out of the batch."""
+    out = {"lang_pred": np.full(len(texts), "und", object), "score": np.zeros(len(texts)), "bits_per_byte": np.full(len(texts), np.nan)}
+    told = np.flatnonzero(texts.is_valid().to_numpy(zero_copy_only=False)) if model.langs else np.zeros(0, np.int64)
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)[told]
+    group = np.cumsum(sizes) // STEP
+    for at, n in ((told[group == g], sizes[group == g]) for g in np.unique(group)):
+        bits = model.code_lengths(texts.take(pa.array(at)).to_pylist())
+        best = bits.argmin(1)
+        out["lang_pred"][at] = np.array(model.langs, object)[best]
+        out["score"][at] = 1 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1)
+        out["bits_per_byte"][at] = bits.min(1) / np.maximum(1, n)
+    return pa.StructArray.from_arrays([pa.array(out["lang_pred"], pa.string()), pa.array(out["score"]), pa.array(out["bits_per_byte"], from_pandas=True)], names=list(out))
+
+
+def _judged(model: Model, batches: Iterator[pa.Array]) -> Iterator[pa.StructArray]:
+    """``_judge`` of each batch, in a worker that keeps nothing else meanwhile."""
+    give_back()
+    for texts in batches:
+        yield _judge(model, texts)
+        give_back()
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_PER_LANG) -> Model:
@@ -155,21 +188,10 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     names = [c for c in docs.columns if c not in ("lang_pred", "score", "bits_per_byte")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def score(texts: pd.Series) -> pd.DataFrame:
-        m = shared.value
-        out = pd.DataFrame({"lang_pred": ["und"] * len(texts), "score": 0.0, "bits_per_byte": np.nan})
-        at = np.flatnonzero(texts.notna().to_numpy())
-        if not len(at) or not m.langs:
-            return out
-        data = [texts.iloc[i] for i in at]
-        bits = m.code_lengths(data)
-        best = bits.argmin(1)
-        out.loc[at, "lang_pred"] = np.array(m.langs, object)[best]
-        out.loc[at, "score"] = 1 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1)
-        out.loc[at, "bits_per_byte"] = bits.min(1) / np.maximum(1, [len(x) for x in data])
-        return out
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return _judged(shared.value, texts)
 
-    udf = F.pandas_udf(score, "lang_pred string, score double, bits_per_byte double")
+    udf = F.arrow_udf(score, "lang_pred string, score double, bits_per_byte double")
     text = F.when(F.col(text_col).rlike(r"\p{L}"), F.lower(text_col).cast("binary"))
     told = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_kept"), udf(text).alias("_lid"))
-    return told.select(*(F.col("_kept")[c].alias(c) for c in names), F.col("_lid.lang_pred").alias("lang_pred"), F.col("_lid.score").alias("score"), F.nanvl("_lid.bits_per_byte", F.lit(None)).alias("bits_per_byte"))
+    return told.select(*(F.col("_kept")[c].alias(c) for c in names), F.col("_lid.lang_pred").alias("lang_pred"), F.col("_lid.score").alias("score"), F.col("_lid.bits_per_byte").alias("bits_per_byte"))

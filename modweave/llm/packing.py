@@ -23,6 +23,8 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from modweave.runtime import give_back, kept
+
 #: Entries of an encoder's two caches, beyond which only those used most are kept.
 CACHE_CHUNKS, CACHE_PARTS = 500_000, 500_000
 #: Bytes of text that are looked up at once.
@@ -152,7 +154,7 @@ class Encoder:
             at = stop
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, Encoder] = kept()
 
 
 def encoder(path: str) -> Encoder:
@@ -162,6 +164,11 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def rest() -> None:
+    """Return freed memory; encoders stay."""
+    give_back(_encoders)
+
+
 Piece = tuple[int, int, int]  # document, start, length
 
 
@@ -270,8 +277,11 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                     yield rows(sequences)
                     held = {d: held[d] for d, _, _ in waiting}
                     tokens = sum(n for _, _, n in waiting)
+            rest()
         if waiting:
             sequences, waiting = assign(waiting, size)
             yield rows(sequences + finish(waiting, size))
+        held.clear()
+        rest()
 
     return docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data")).mapInArrow(run, fields)

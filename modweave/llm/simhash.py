@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from modweave.operators.components import connected_components
-from modweave.runtime import cut, join_counted
+from modweave.runtime import cut, give_back, join_counted
 
 SEED = 42
 #: Fingerprints whose variants a task enumerates; prefixes that receive more are dealt on.
@@ -63,8 +63,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def score(batches):
         for batch in batches:
-            fps = np.array([simhash(x, width) for x in batch.column(1).to_pylist()], np.uint64)
+            fps = np.array([simhash(x.as_py(), width) for x in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=[id_col, "fp"])
+        give_back()
 
     return docs.select(id_col, F.col(text_col).cast("binary").alias("data")).mapInArrow(score, f"`{id_col}` {kind}, fp long")
 

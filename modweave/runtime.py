@@ -2,12 +2,38 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+_kept: list[dict] = []
+
+
+def kept() -> dict:
+    """A dictionary that a Python worker keeps between the tasks of its operator; other operators' tasks empty it."""
+    _kept.append({})
+    return _kept[-1]
+
+
+def give_back(own: dict | None = None) -> None:
+    """Return the memory that a Python worker has freed to the system; of what is ``kept``, only ``own`` stays.
+
+    Workers outlive their tasks and rest beside those of the next operator, and the allocators
+    hold on to what was freed. Only glibc can be asked for it; elsewhere Arrow's part is returned.
+    """
+    for cache in _kept:
+        if cache is not own:
+            cache.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoints: the one the cluster names; only where all runs on one machine, as in tests, a local one."""
     context = spark.sparkContext

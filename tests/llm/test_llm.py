@@ -601,6 +601,51 @@ def test_language_steps_add_up(monkeypatch):
     assert np.allclose(m.code_lengths(texts), whole, rtol=1e-5)
 
 
+def test_languages_of_a_batch_in_groups(monkeypatch):
+    texts = [b"hello there", None, b"", b"abc" * 50, b"x"]
+    models = {}
+    for lang, own in (("a", texts[0]), ("b", texts[3])):
+        x, n = np.unique(codes([own])[0], return_counts=True)
+        models[lang] = (x.astype(np.int64), n.astype(np.int64))
+    m = langid.Model(["a", "b"], models)
+    bits = m.code_lengths([t or b"" for t in texts])
+    for step in (1_000_000, 20):
+        monkeypatch.setattr(langid, "STEP", step)
+        got = langid._judge(m, pa.array(texts, pa.binary())).to_pylist()
+        assert [r["lang_pred"] for r in got] == ["a", "und", "a", "b", "ab"[bits[4].argmin()]]
+        assert [r["bits_per_byte"] is None for r in got] == [t is None for t in texts]
+        assert np.allclose([r["score"] for r in got], [0 if t is None else 1 / np.exp2(b.min() - b).sum() for t, b in zip(texts, bits, strict=True)], rtol=1e-5)
+    assert langid._judge(langid.Model([], {}), pa.array(texts, pa.binary())).to_pylist() == [{"lang_pred": "und", "score": 0.0, "bits_per_byte": None}] * 5
+    assert len(langid._judge(m, pa.array([], pa.binary()))) == 0
+
+
+def resident():
+    with open("/proc/self/smaps_rollup") as lines:
+        return sum(int(x.split()[1]) for x in lines if x.startswith("Pss_Anon:")) / 1024
+
+
+def test_workers_return_what_they_have_freed():
+    from modweave.runtime import give_back
+
+    before = resident()
+    held = [b"%d" % k * 12_000 for k in range(2000)]  # too small to be mapped one by one
+    del held[:-1]  # the last one keeps the others' memory in the heap
+    give_back()
+    assert resident() - before < 20
+
+
+def test_language_id_drops_the_encoder_of_packing():
+    name = tokenizer_path()
+    first = packing.encoder(name)
+    packing.rest()
+    assert packing.encoder(name) is first
+    assert list(langid._grams(iter([]))) == []
+    assert not packing._encoders
+    packing.encoder(name)
+    assert [x.to_pylist()[0]["lang_pred"] for x in langid._judged(langid.Model([], {}), iter([pa.array([b"x"])]))] == ["und"]
+    assert not packing._encoders
+
+
 def test_language_of_tables(spark, odd, empty):
     from modweave.llm.folds import held_out
 
